@@ -11,8 +11,10 @@ def py_round(value: Column, digits: int) -> Column:
     turn 35.15 into 35.2; the JVM number formatter looks at the binary value and gives 35.1.
     """
     pattern = "0." + "0" * digits if digits else "0"
-    text = F.call_function("format_number", value.cast("double"), F.lit(pattern))
-    return text.cast("double") + F.lit(0.0)  # + 0.0 turns -0.0 into 0.0
+    number = value.cast("double")
+    finite = F.when(F.abs(number) < float("inf"), number)
+    text = F.call_function("format_number", finite, F.lit(pattern))
+    return F.coalesce(text.cast("double"), number) + F.lit(0.0)  # + 0.0 turns -0.0 into 0.0
 
 
 def cents(value: Column) -> Column:

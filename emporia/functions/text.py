@@ -32,21 +32,20 @@ def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str)
         .withColumn("_key", F.substring(F.col(needle), F.lit(1), F.col("_len")))
     )
     lengths = keyed.agg(F.collect_set("_len")).scalar()  # at most four numbers
-    pieces = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.coalesce(lengths, F.array().cast("array<int>")),
-                lambda size: F.transform(
-                    F.filter(
-                        F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))),
-                        lambda at: at <= F.length(text) - size + 1,
-                    ),
-                    lambda at: F.substring(F.col(text), at, size),
-                ),
-            )
-        )
+    last = F.length(text)
+    pieces = F.transform(
+        F.col("_lens"),
+        lambda size: F.transform(
+            F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda at: at <= last - size + 1),
+            lambda at: F.substring(F.col(text), at, size),
+        ),
+    )
+    keyed_texts = (
+        texts.where(F.col(text).isNotNull())
+        .withColumn("_lens", lengths)
+        .withColumn("_key", F.explode(F.array_distinct(F.flatten(pieces))))
+        .drop("_lens")
     )
-    keyed_texts = texts.where(F.col(text).isNotNull()).withColumn("_key", F.explode(pieces))
     return (
         keyed_texts.join(keyed, "_key").where(F.contains(text, needle)).drop("_key", "_len")
     )

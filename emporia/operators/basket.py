@@ -13,6 +13,7 @@ from emporia.functions.numbers import py_round
 from emporia.operators.lookup import filter_slice, match_product_name
 from emporia.operators.topk import ranked_within
 from emporia.schema import BASKET_KEYS
+from emporia.sources.store import work_table
 
 # Thresholds of the placement, layout and pair rules, and the class labels.
 APART_LIFT, APART_CONFIDENCE = 1.5, 10
@@ -27,31 +28,28 @@ APART, CLOSE, NEUTRAL = "a_eloigner", "a_rapprocher", "neutres"
 BLOCK_ITEMS = 256
 
 
+def basket_rows(fact: DataFrame, item: str = "product_name", by: list[str] | None = None) -> DataFrame:
+    """Distinct (basket, item) with names trimmed; a missing or empty name is a null item, so that
+    a basket without any usable item still counts."""
+    keys = [*(by or []), *BASKET_KEYS]
+    name = F.nullif(F.trim(item), F.lit(""))
+    return fact.dropna(subset=BASKET_KEYS).select(*keys, name.alias("item")).distinct()
+
+
 def basket_items(fact: DataFrame, item: str = "product_name", by: list[str] | None = None) -> DataFrame:
     """Distinct (basket, item); names are trimmed, missing and empty ones dropped."""
-    keys = [*(by or []), *BASKET_KEYS]
-    return (
-        fact.dropna(subset=BASKET_KEYS)
-        .select(*keys, F.trim(item).alias("item"))
-        .where("item <> ''")
-        .distinct()
-    )
+    return basket_rows(fact, item, by).where("item IS NOT NULL")
 
 
-def basket_count(fact: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """N: baskets of the rows, with or without a usable item."""
-    baskets = fact.dropna(subset=BASKET_KEYS).select(*(by or []), *BASKET_KEYS).distinct()
-    return baskets.groupBy(*by).agg(F.count("*").alias("n")) if by else baskets.agg(F.count("*").alias("n"))
+def basket_count(rows: DataFrame) -> Column:
+    """N: the number of baskets in rows with basket keys, as a scalar."""
+    return rows.select(*BASKET_KEYS).distinct().agg(F.count("*")).scalar()
 
 
-def item_support(items: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """s(item), and N over the baskets of `items`."""
-    by = by or []
-    support = items.groupBy(*by, "item").agg(F.count("*").alias("support"))
-    baskets = items.select(*by, *BASKET_KEYS).distinct()
-    if by:
-        return support.join(baskets.groupBy(*by).agg(F.count("*").alias("n")), by)
-    return support.withColumn("n", baskets.agg(F.count("*")).scalar())
+def item_support(items: DataFrame) -> DataFrame:
+    """(item, support, n): s(item), and N over the baskets of `items`, which are read twice."""
+    support = items.groupBy("item").agg(F.count("*").alias("support"))
+    return support.withColumn("n", basket_count(items))
 
 
 def pair_counts(
@@ -106,15 +104,14 @@ def top_pairs(
     return pairs.orderBy(F.desc("frequency"), "x", "y").limit(n)
 
 
-def with_metrics(pairs: DataFrame, support: DataFrame, by: list[str] | None = None) -> DataFrame:
+def with_metrics(pairs: DataFrame, support: DataFrame) -> DataFrame:
     """Add supports, confidence x→y in percent, expected frequency and lift to counted pairs.
 
     `support` has (item, support, n), as `item_support` gives it.
     """
-    by = by or []
-    of_x = support.select(*by, F.col("item").alias("x"), F.col("support").alias("support_x"), "n")
-    of_y = support.select(*by, F.col("item").alias("y"), F.col("support").alias("support_y"))
-    joined = pairs.join(of_x, [*by, "x"]).join(of_y, [*by, "y"])
+    of_x = support.select(F.col("item").alias("x"), F.col("support").alias("support_x"), "n")
+    of_y = support.select(F.col("item").alias("y"), F.col("support").alias("support_y"))
+    joined = pairs.join(of_x, "x").join(of_y, "y")
     product = F.col("support_x").cast("double") * F.col("support_y")
     return (
         joined.withColumn("confidence", F.col("frequency") / F.col("support_x") * 100)
@@ -124,8 +121,10 @@ def with_metrics(pairs: DataFrame, support: DataFrame, by: list[str] | None = No
 
 
 def pair_metrics(fact: DataFrame, item: str = "product_name") -> DataFrame:
-    items = basket_items(fact, item)
-    return with_metrics(pair_counts(items), item_support(items))
+    """The figures of all pairs. The distinct (basket, item) rows feed three computations, so they
+    are stored once instead of scanning and shuffling the fact for each."""
+    items = work_table(basket_items(fact, item))
+    return with_metrics(pair_counts(items), work_table(item_support(items)))
 
 
 def association_score(confidence: Column, lift: Column, frequency: Column) -> Column:
@@ -141,12 +140,9 @@ def placement_pairs(
     Classes come from unrounded figures; the columns hold the rounded ones, by which lists are
     sorted. N counts every basket of the slice, single-item ones included.
     """
-    rows = filter_slice(fact, category, delegation)
-    items = basket_items(rows)
-    support = (
-        items.groupBy("item").agg(F.count("*").alias("support"))
-        .withColumn("n", basket_count(rows).scalar())
-    )
+    rows = work_table(basket_rows(filter_slice(fact, category, delegation)))
+    items = rows.where("item IS NOT NULL")
+    support = items.groupBy("item").agg(F.count("*").alias("support")).withColumn("n", basket_count(rows))
     confidence, lift = F.col("confidence"), F.col("lift")
     placed = (
         F.when((lift >= APART_LIFT) & (confidence >= APART_CONFIDENCE), APART)
@@ -155,7 +151,7 @@ def placement_pairs(
         )
         .otherwise(NEUTRAL)
     )
-    return with_metrics(pair_counts(items), support).select(
+    return with_metrics(pair_counts(items), work_table(support)).select(
         "x",
         "y",
         "frequency",
@@ -254,13 +250,13 @@ def analyze_pairs(
     """Association of each asked (product_1, product_2), both names resolved first.
 
     One row per distinct pair; `missing` lists the names without a match, whose pair has zero
-    counts. Only baskets rows of asked products are counted.
+    counts. Only rows of the asked products are paired.
     """
-    asked = pairs.select("product_1", "product_2").distinct()
+    asked = work_table(pairs.select("product_1", "product_2").distinct())
     texts = asked.select(F.col("product_1").alias("query")).unionByName(
         asked.select(F.col("product_2").alias("query"))
     )
-    matches = match_product_name(texts, fact)
+    matches = work_table(match_product_name(texts, fact))
     resolved = asked.join(
         matches.select(F.col("query").alias("product_1"), F.col("matched").alias("matched_1")),
         "product_1", "left",
@@ -268,11 +264,11 @@ def analyze_pairs(
         matches.select(F.col("query").alias("product_2"), F.col("matched").alias("matched_2")),
         "product_2", "left",
     )
-    rows = filter_slice(fact, category, delegation)
+    rows = work_table(basket_rows(filter_slice(fact, category, delegation)))
     wanted = matches.select(F.trim("matched").alias("item")).where("item IS NOT NULL").distinct()
-    items = basket_items(rows).join(wanted, "item", "left_semi")
-    support = items.groupBy("item").agg(F.count("*").alias("support"))
-    return score_pairs(resolved, support, pair_counts(items), basket_count(rows).scalar())
+    items = rows.join(wanted, "item", "left_semi")
+    support = work_table(items.groupBy("item").agg(F.count("*").alias("support")))
+    return score_pairs(resolved, support, pair_counts(items), basket_count(rows))
 
 
 def score_pairs(resolved: DataFrame, support: DataFrame, counts: DataFrame, n: Column) -> DataFrame:

@@ -27,8 +27,6 @@ HIGH_LABEL, MODERATE_LABEL, LOW_LABEL = "Forte demande", "Demande modérée", "F
 
 FEATURES = ["month", "year", "quarter", "lag1", "lag2", "lag3"]
 LAGS = ["lag1", "lag2", "lag3"]
-OVER_TIME = W.partitionBy("series_key").orderBy("ds")
-WHOLE_SERIES = W.partitionBy("series_key")
 
 
 class Boosted(NamedTuple):
@@ -36,26 +34,34 @@ class Boosted(NamedTuple):
     metrics: DataFrame
 
 
+def over_time():
+    return W.partitionBy("series_key").orderBy("ds")
+
+
+def whole_series():
+    return W.partitionBy("series_key")
+
+
 def calendar_parts(date: Column) -> dict[str, Column]:
     return {"month": F.month(date), "year": F.year(date), "quarter": F.quarter(date)}
 
 
 def calendar_lag_features(series: DataFrame) -> DataFrame:
     """Calendar parts and the three previous values; months without three are dropped."""
-    lags = {f"lag{k}": F.lag("y", k).over(OVER_TIME) for k in (1, 2, 3)}
+    lags = {f"lag{k}": F.lag("y", k).over(over_time()) for k in (1, 2, 3)}
     return series.withColumns({**calendar_parts(F.col("ds")), **lags}).dropna(subset=[*LAGS, "y"])
 
 
 def chrono_split(df: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
     """Mark the first int(share · n) months of each series as `is_train`."""
-    place = F.row_number().over(OVER_TIME)
-    n = F.count("*").over(WHOLE_SERIES)
+    place = F.row_number().over(over_time())
+    n = F.count("*").over(whole_series())
     return df.withColumn("is_train", place <= F.floor(n * F.lit(share)))
 
 
 def smooth3(series: DataFrame) -> DataFrame:
     """Replace y by the mean of the month and up to two before it."""
-    return series.withColumn("y", F.avg("y").over(OVER_TIME.rowsBetween(-2, 0)))
+    return series.withColumn("y", F.avg("y").over(over_time().rowsBetween(-2, 0)))
 
 
 def forecast_metrics(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -89,18 +95,18 @@ def fit_seasonal(series: DataFrame) -> DataFrame:
     one task; all series are fitted in parallel.
     """
     timed = (
-        series.withColumn("t", F.row_number().over(OVER_TIME) - 1)
-        .withColumn("n", F.count("*").over(WHOLE_SERIES))
+        series.withColumn("t", F.row_number().over(over_time()) - 1)
+        .withColumn("n", F.count("*").over(whole_series()))
         .withColumn("middle", (F.col("n") - 1) / 2)
         .withColumn("dt", F.col("t") - F.col("middle"))
-        .withColumn("last_ds", F.max("ds").over(WHOLE_SERIES))
-        .withColumn("level", F.avg("y").over(WHOLE_SERIES))
+        .withColumn("last_ds", F.max("ds").over(whole_series()))
+        .withColumn("level", F.avg("y").over(whole_series()))
         .withColumn(
             "slope",
             F.coalesce(
                 F.try_divide(
-                    F.sum(F.col("dt") * F.col("y")).over(WHOLE_SERIES),
-                    F.sum(F.col("dt") * F.col("dt")).over(WHOLE_SERIES),
+                    F.sum(F.col("dt") * F.col("y")).over(whole_series()),
+                    F.sum(F.col("dt") * F.col("dt")).over(whole_series()),
                 ),
                 F.lit(0.0),
             ),
@@ -137,7 +143,7 @@ def forecast_seasonal(series: DataFrame, periods: int = 3) -> DataFrame:
 
 def seasonal_holdout(series: DataFrame) -> DataFrame:
     """(series_key, ds, y, yhat) on the last fifth, fitted on the months before it."""
-    split = chrono_split(smooth3(series)).withColumn("t", F.row_number().over(OVER_TIME) - 1)
+    split = chrono_split(smooth3(series)).withColumn("t", F.row_number().over(over_time()) - 1)
     fitted = fit_seasonal(split.where("is_train").select("series_key", "ds", "y"))
     return (
         split.where("NOT is_train")
@@ -159,9 +165,9 @@ def train_boosted(
     Values are divided by the mean of the series' training months, so that series of different
     size share a model. Metrics are on the last fifth, per series and in its own unit.
     """
-    lagged = calendar_lag_features(series).withColumn("_n", F.count("*").over(WHOLE_SERIES))
+    lagged = calendar_lag_features(series).withColumn("_n", F.count("*").over(whole_series()))
     split = chrono_split(lagged.where(F.col("_n") >= MIN_LAGGED_ROWS).drop("_n"))
-    scale = F.avg(F.when(F.col("is_train"), F.col("y"))).over(WHOLE_SERIES)
+    scale = F.avg(F.when(F.col("is_train"), F.col("y"))).over(whole_series())
     scaled = split.withColumn("scale", F.when(scale > 0, scale).otherwise(1.0))
     relative = {c: F.col(c) / F.col("scale") for c in LAGS}
     rows = work_table(
@@ -244,7 +250,7 @@ def forecast_product(fact: DataFrame, name: str, periods: int = 3, **settings) -
 
 def demand_level(forecast: DataFrame) -> DataFrame:
     """Percent of the series' highest forecast and its demand level."""
-    highest = F.greatest(F.max("yhat").over(WHOLE_SERIES), F.lit(1.0))
+    highest = F.greatest(F.max("yhat").over(whole_series()), F.lit(1.0))
     percent = F.col("percent")
     return forecast.withColumn("percent", 100 * F.col("yhat") / highest).withColumn(
         "level",

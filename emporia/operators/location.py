@@ -137,7 +137,7 @@ def predict_region_revenue(
 
     A known cell is 0.6 observed + 0.4 model (or as observed without a model); a known category
     without the cell is its mean × the region factor; an unknown category is the mean of all
-    cells × the region factor.
+    cells × the region factor. `cells` are read several times, so pass a stored table.
     """
     category_means = cells.groupBy("category").agg(F.avg("revenue").alias("category_mean"))
     everywhere = cells.agg(F.avg("revenue")).scalar()
@@ -177,9 +177,11 @@ def filter_region_stats(fact: DataFrame, requests: DataFrame) -> DataFrame:
     request gives its regions; one without any match gives a single row with no region and
     `missing` naming the text that failed ("brand" or "product_name").
     """
-    asked = requests.select(*REQUEST).where("brand <> '' OR product_name <> ''").distinct()
-    asked = asked.withColumn("_brand", F.lower("brand")).withColumn("_name", F.lower("product_name"))
-    detail = (
+    asked = work_table(
+        requests.select(*REQUEST).where("brand <> '' OR product_name <> ''").distinct()
+        .withColumn("_brand", F.lower("brand")).withColumn("_name", F.lower("product_name"))
+    )
+    detail = work_table(
         fact.dropna(subset=["total_price", "category", "delegation"])
         .groupBy("category", F.col("brand").alias("_of_brand"), F.col("product_name").alias("_of_name"), F.col("delegation").alias("region"))
         .agg(F.sum("total_price").alias("_revenue"))
@@ -203,8 +205,10 @@ def filter_region_stats(fact: DataFrame, requests: DataFrame) -> DataFrame:
     )
     columns = [*REQUEST, "region", "_revenue", "_ok"]
     matched = brand_rows.select(*columns).unionByName(name_rows.select(*columns))
-    sums = matched.groupBy(*REQUEST, "region").agg(
-        F.sum(F.when(F.col("_ok"), F.col("_revenue"))).alias("revenue")
+    sums = work_table(
+        matched.groupBy(*REQUEST, "region").agg(
+            F.sum(F.when(F.col("_ok"), F.col("_revenue"))).alias("revenue")
+        )
     )
     status = sums.groupBy(*REQUEST).agg(F.count("revenue").alias("_regions"))
     missing = (
@@ -245,10 +249,10 @@ def rank_regions(
     A region's value is the revenue matching the request; where there is none, a tenth of its
     prediction. A request without texts, or whose texts match nothing, is ranked by prediction.
     """
-    cells = category_region_revenue(fact) if cells is None else cells
-    asked = clean_requests(requests, cells)
+    cells = work_table(category_region_revenue(fact)) if cells is None else cells
+    asked = work_table(clean_requests(requests, cells))
     predicted = predict_region_revenue(cells, asked, model)
-    stats = filter_region_stats(fact, asked)
+    stats = work_table(filter_region_stats(fact, asked))
     status = stats.select(*REQUEST, "missing").distinct()
     sums = stats.where("region IS NOT NULL").select(*REQUEST, "region", F.col("revenue").alias("_sum"))
     valued = (

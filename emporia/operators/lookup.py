@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emporia.functions.text import contains_join, plain_words
+from emporia.sources.store import work_table
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -77,7 +78,9 @@ def match_product_name(queries: DataFrame, products: DataFrame, query: str = "qu
     the same words, the fourth joins on four-letter pieces.
     """
     asked = queries.select(query).distinct().withColumn("_q", F.lower(F.trim(query)))
-    names = distinct_values(products, "product_name").withColumn("_low", F.lower("product_name"))
+    names = work_table(
+        distinct_values(products, "product_name").withColumn("_low", F.lower("product_name"))
+    )
 
     starts = (
         names.withColumn("_size", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_low"), F.lit(1)))))
@@ -89,7 +92,7 @@ def match_product_name(queries: DataFrame, products: DataFrame, query: str = "qu
         .where("_q <> ''")
     )
     by_start = asked.join(starts, "_q", "left")
-    first = by_start.withColumn("_start", F.coalesce("_exact", "_prefix")).drop("_exact", "_prefix")
+    first = work_table(by_start.select(query, "_q", F.coalesce("_exact", "_prefix").alias("_start")))
     open_texts = first.where("_start IS NULL AND _q <> ''").select("_q").distinct()
 
     asked_words = (
@@ -110,6 +113,7 @@ def match_product_name(queries: DataFrame, products: DataFrame, query: str = "qu
         .agg(F.min(F.struct(-F.col("_shared"), F.col("_name").alias("name"))).alias("_best"))
         .select("_q", F.col("_best.name").alias("_shared_name"))
     )
+    by_words = work_table(by_words)
     still_open = open_texts.join(by_words, "_q", "left_anti").where(F.length("_q") >= 4)
     by_part = (
         contains_join(names, "_low", still_open, "_q")
@@ -126,8 +130,8 @@ def match_product_name(queries: DataFrame, products: DataFrame, query: str = "qu
 def resolve_category(queries: DataFrame, categories: DataFrame, query: str = "query") -> DataFrame:
     """(query, category): equal, equal ignoring case, containing or contained (first in order);
     an unknown text stays as it is and a missing one becomes the first category."""
-    known = distinct_values(categories, "category").withColumn("_low", F.lower("category"))
-    asked = queries.select(query).distinct().withColumn("_q", F.lower(query))
+    known = work_table(distinct_values(categories, "category").withColumn("_low", F.lower("category")))
+    asked = work_table(queries.select(query).distinct().withColumn("_q", F.lower(query)))
     exact = known.select(F.col("category").alias(query), F.col("category").alias("_exact"))
     ignoring_case = known.groupBy(F.col("_low").alias("_q")).agg(F.max("category").alias("_same"))
     texts = asked.select("_q").where("_q <> ''").distinct()
