@@ -41,66 +41,74 @@ def basket_items(fact: DataFrame, item: str = "product_name", by: list[str] | No
     return basket_rows(fact, item, by).where("item IS NOT NULL")
 
 
-def basket_count(rows: DataFrame) -> Column:
-    """N: the number of baskets in rows with basket keys, as a scalar."""
-    return rows.select(*BASKET_KEYS).distinct().agg(F.count("*")).scalar()
+def basket_table(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Stored (by, items, size): one row per basket with its sorted distinct items.
 
+    `rows` are distinct (basket, item), so repeated purchases are gone before a basket meets in one
+    task and its array is no longer than the catalogue. Supports, pair counts and N all come from
+    narrow scans of this table instead of further shuffles of the purchases.
+    """
+    by = by or []
+    baskets = rows.groupBy(*by, *BASKET_KEYS).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return work_table(baskets.select(*by, "items", F.size("items").alias("size")))
 
-def item_support(items: DataFrame) -> DataFrame:
-    """(item, support, n): s(item), and N over the baskets of `items`, which are read twice."""
-    support = items.groupBy("item").agg(F.count("*").alias("support"))
-    return support.withColumn("n", basket_count(items))
 
+def basket_count(baskets: DataFrame) -> Column:
+    """N, the number of baskets of a basket table, as a scalar."""
+    return baskets.agg(F.count("*")).scalar()
+
+
+def item_support(baskets: DataFrame) -> DataFrame:
+    """(item, support, n) of a basket table: s(item), and N."""
+    support = baskets.select(F.explode("items").alias("item")).groupBy("item")
+    return support.agg(F.count("*").alias("support")).withColumn("n", basket_count(baskets))
+
+
+def ordered_pairs(baskets: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, x, y) for all x < y of each row's sorted `items`, one row at a time."""
+    firsts = baskets.select(*keep, "items", F.posexplode("items").alias("_at", "x"))
+    rest = F.slice("items", F.col("_at") + 2, F.size("items"))
+    return firsts.select(*keep, "x", F.explode(rest).alias("y"))
 
-def pair_counts(
-    items: DataFrame, by: list[str] | None = None, keys: list[str] | None = None, block: int = BLOCK_ITEMS
-) -> DataFrame:
-    """f(x, y) for x < y, from distinct (basket, item) rows.
 
-    A usual basket becomes one short sorted array whose pairs are generated in place, without a
-    join. A basket of more than `block` items is cut into blocks, and each pair of blocks is a
-    join key of its own, so its work spreads evenly over tasks however large the basket is.
+def pair_counts(baskets: DataFrame, by: list[str] | None = None, block: int = BLOCK_ITEMS) -> DataFrame:
+    """f(x, y) for x < y over a basket table.
+
+    A usual basket yields its pairs in place and they are summed before the only shuffle, by pair.
+    A basket of more than `block` items is cut into blocks, and its pairs of blocks are spread over
+    tasks, so no task holds more than a few blocks of one basket however large that is. `size` is a
+    stored column, so looking for such baskets skips the parts of the table without any.
     """
     by = by or []
-    basket = [*by, *(keys or BASKET_KEYS)]
-    sized = items.select(*basket, "item").withColumn("_size", F.count("*").over(W.partitionBy(*basket)))
-
-    small = (
-        sized.where(F.col("_size").between(2, block))
-        .groupBy(*basket)
-        .agg(F.array_sort(F.collect_list("item")).alias("_items"))
-        .select(*by, "_items", F.posexplode("_items").alias("_at", "x"))
+    small = ordered_pairs(baskets.where(F.col("size").between(2, block)), by)
+
+    last = F.ceil(F.col("size") / block).cast("int") - 1
+    blocks = (
+        baskets.where(F.col("size") > block)
+        .select(*by, "items", last.alias("_last"), F.explode(F.sequence(F.lit(0), last)).alias("_a"))
+        .select(*by, "items", "_a", F.explode(F.sequence("_a", "_last")).alias("_b"))
         .select(
             *by,
-            "x",
-            F.explode(F.slice("_items", F.col("_at") + 2, F.size("_items"))).alias("y"),
+            (F.col("_a") == F.col("_b")).alias("_same"),
+            F.slice("items", F.col("_a") * block + 1, F.lit(block)).alias("_left"),
+            F.slice("items", F.col("_b") * block + 1, F.lit(block)).alias("_right"),
         )
+        .repartition(F.xxhash64("_left", "_right"))
     )
-
-    blocks = F.ceil(F.col("_size") / block).cast("int")
-    large = sized.where(F.col("_size") > block).withColumn(
-        "_block", F.pmod(F.xxhash64("item"), blocks).cast("int")
-    )
-    left = large.select(
-        *basket, F.col("item").alias("_left"), F.col("_block").alias("_a"),
-        F.explode(F.sequence("_block", blocks - 1)).alias("_b"),
+    large = (
+        blocks.select(*by, "_same", "_right", F.explode("_left").alias("x"))
+        .select(*by, "_same", "x", F.explode("_right").alias("y"))
+        .where("NOT _same OR x < y")
+        .select(*by, "x", "y")
     )
-    right = large.select(
-        *basket, F.col("item").alias("_right"), F.col("_block").alias("_b"),
-        F.explode(F.sequence(F.lit(0), "_block")).alias("_a"),
-    )
-    crossed = left.join(right, [*basket, "_a", "_b"]).where("_a < _b OR _left < _right")
-    split = crossed.select(
-        *by, F.least("_left", "_right").alias("x"), F.greatest("_left", "_right").alias("y")
-    )
-    return small.unionByName(split).groupBy(*by, "x", "y").agg(F.count("*").alias("frequency"))
+    return small.unionByName(large).groupBy(*by, "x", "y").agg(F.count("*").alias("frequency"))
 
 
 def top_pairs(
     fact: DataFrame, category: str | None = None, delegation: str | None = None, n: int = 5
 ) -> DataFrame:
     """The most frequent pairs in a slice."""
-    pairs = pair_counts(basket_items(filter_slice(fact, category, delegation)))
+    pairs = pair_counts(basket_table(basket_items(filter_slice(fact, category, delegation))))
     return pairs.orderBy(F.desc("frequency"), "x", "y").limit(n)
 
 
@@ -121,10 +129,8 @@ def with_metrics(pairs: DataFrame, support: DataFrame) -> DataFrame:
 
 
 def pair_metrics(fact: DataFrame, item: str = "product_name") -> DataFrame:
-    """The figures of all pairs. The distinct (basket, item) rows feed three computations, so they
-    are stored once instead of scanning and shuffling the fact for each."""
-    items = work_table(basket_items(fact, item))
-    return with_metrics(pair_counts(items), work_table(item_support(items)))
+    baskets = basket_table(basket_items(fact, item))
+    return with_metrics(pair_counts(baskets), work_table(item_support(baskets)))
 
 
 def association_score(confidence: Column, lift: Column, frequency: Column) -> Column:
@@ -140,9 +146,7 @@ def placement_pairs(
     Classes come from unrounded figures; the columns hold the rounded ones, by which lists are
     sorted. N counts every basket of the slice, single-item ones included.
     """
-    rows = work_table(basket_rows(filter_slice(fact, category, delegation)))
-    items = rows.where("item IS NOT NULL")
-    support = items.groupBy("item").agg(F.count("*").alias("support")).withColumn("n", basket_count(rows))
+    baskets = basket_table(basket_rows(filter_slice(fact, category, delegation)))
     confidence, lift = F.col("confidence"), F.col("lift")
     placed = (
         F.when((lift >= APART_LIFT) & (confidence >= APART_CONFIDENCE), APART)
@@ -151,7 +155,7 @@ def placement_pairs(
         )
         .otherwise(NEUTRAL)
     )
-    return with_metrics(pair_counts(items), work_table(support)).select(
+    return with_metrics(pair_counts(baskets), work_table(item_support(baskets))).select(
         "x",
         "y",
         "frequency",
@@ -208,18 +212,14 @@ def layout_pairs(fact: DataFrame) -> DataFrame:
         .groupBy("items")
         .agg(F.count("*").alias("weight"))
     )
+    sets = work_table(sets)
     support = (
         sets.select(F.explode("items").alias("item"), "weight")
         .groupBy("item")
         .agg(F.sum("weight").alias("support"))
         .withColumn("n", sets.agg(F.sum("weight")).scalar())
     )
-    pairs = (
-        sets.select("items", "weight", F.posexplode("items").alias("_at", "x"))
-        .select("x", "weight", F.explode(F.slice("items", F.col("_at") + 2, F.size("items"))).alias("y"))
-        .groupBy("x", "y")
-        .agg(F.sum("weight").alias("frequency"))
-    )
+    pairs = ordered_pairs(sets, ["weight"]).groupBy("x", "y").agg(F.sum("weight").alias("frequency"))
     lift, confidence = F.col("lift"), F.col("confidence")
     apart = (lift >= LAYOUT_APART_LIFT) & (confidence >= LAYOUT_APART_CONFIDENCE)
     negative = (lift < LAYOUT_NEGATIVE_LIFT) | (confidence < LAYOUT_NEGATIVE_CONFIDENCE)
@@ -264,11 +264,9 @@ def analyze_pairs(
         matches.select(F.col("query").alias("product_2"), F.col("matched").alias("matched_2")),
         "product_2", "left",
     )
-    rows = work_table(basket_rows(filter_slice(fact, category, delegation)))
-    wanted = matches.select(F.trim("matched").alias("item")).where("item IS NOT NULL").distinct()
-    items = rows.join(wanted, "item", "left_semi")
-    support = work_table(items.groupBy("item").agg(F.count("*").alias("support")))
-    return score_pairs(resolved, support, pair_counts(items), basket_count(rows))
+    baskets = basket_table(basket_rows(filter_slice(fact, category, delegation)))
+    support = work_table(item_support(baskets))
+    return score_pairs(resolved, support, pair_counts(baskets), basket_count(baskets))
 
 
 def score_pairs(resolved: DataFrame, support: DataFrame, counts: DataFrame, n: Column) -> DataFrame:

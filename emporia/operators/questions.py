@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emporia.functions.text import contained_names, quoted_names
-from emporia.operators.basket import analyze_pairs, basket_items, pair_counts
+from emporia.operators.basket import analyze_pairs, basket_items, basket_table, pair_counts
 from emporia.operators.topk import region_top_products
 from emporia.sources.store import work_table
 
@@ -200,7 +200,7 @@ def sliced_pairs(fact: DataFrame, slices: DataFrame, n: Column) -> DataFrame:
         fact.select("client_id", "purchase_date", "product_name", F.inline(options))
         .join(work_table(slices.select(*by).distinct()), by, "left_semi")
     )
-    pairs = pair_counts(basket_items(rows, by=by), by=by)
+    pairs = pair_counts(basket_table(basket_items(rows, by=by), by=by), by=by)
     rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("frequency"), "x", "y"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= n)
 

@@ -15,6 +15,10 @@ def purchases(spark, folder, *more):
     return sales(spark, folder, *ITEM_COLUMNS, *more)
 
 
+def baskets(spark, folder):
+    return basket.basket_table(basket.basket_items(purchases(spark, folder)))
+
+
 @register("basket_items", f"WITH {SALES}, {BASKETS} SELECT * FROM items")
 def q_basket_items(spark, folder):
     return basket.basket_items(purchases(spark, folder))
@@ -22,12 +26,12 @@ def q_basket_items(spark, folder):
 
 @register("item_support", f"WITH {SALES}, {BASKETS} SELECT item, support, n FROM support CROSS JOIN n")
 def q_item_support(spark, folder):
-    return basket.item_support(basket.basket_items(purchases(spark, folder)))
+    return basket.item_support(baskets(spark, folder))
 
 
 @register("pair_counts", f"WITH {SALES}, {BASKETS} SELECT * FROM pairs")
 def q_pair_counts(spark, folder):
-    return basket.pair_counts(basket.basket_items(purchases(spark, folder)))
+    return basket.pair_counts(baskets(spark, folder))
 
 
 @register("top_pairs", f"WITH {SALES}, {BASKETS} SELECT * FROM pairs ORDER BY frequency DESC, x, y LIMIT 5")
