@@ -20,35 +20,36 @@ def quoted_names(text: Column) -> Column:
 
 
 def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
-    """Every (text row, needle row) where the text contains the needle, by an equality join.
+    """Every (text row, needle row) where the text contains the needle, by equality joins.
 
-    A needle is keyed by its first four characters (all of it when shorter) and a text by its
-    distinct pieces of the key lengths in use, so only texts holding the key meet the needle.
-    Needle rows must be distinct and non-empty.
+    Needles, which must be distinct, are indexed by their first four characters (all of them when
+    shorter) with the lengths that occur. A place in a text whose characters are in the index gives
+    one piece per such length, and pieces are looked up among the needles. So only true matches
+    are ever paired, also when very many needles or texts share a beginning.
     """
-    keyed = (
-        needles.where(F.length(needle) > 0)
-        .withColumn("_len", F.least(F.length(needle), F.lit(GRAM)))
-        .withColumn("_key", F.substring(F.col(needle), F.lit(1), F.col("_len")))
+    keyed = needles.where(F.length(needle) > 0).select(
+        F.substring(needle, 1, GRAM).alias("_key"), F.length(needle).alias("_length")
     )
-    lengths = keyed.agg(F.collect_set("_len")).scalar()  # at most four numbers
-    last = F.length(text)
-    pieces = F.transform(
-        F.col("_lens"),
-        lambda size: F.transform(
-            F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda at: at <= last - size + 1),
-            lambda at: F.substring(F.col(text), at, size),
-        ),
+    index = keyed.groupBy("_key").agg(F.sort_array(F.collect_set("_length")).alias("_lengths"))
+    sizes = index.agg(F.collect_set(F.length("_key"))).scalar()  # at most four numbers
+    places = (
+        texts.where(F.length(text) > 0)
+        .withColumn("_size", sizes)
+        .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(text))))
+        .withColumn("_size", F.explode("_size"))
+        .withColumn("_key", F.substring(F.col(text), F.col("_at"), F.col("_size")))
+        .where(F.length("_key") == F.col("_size"))
     )
-    keyed_texts = (
-        texts.where(F.col(text).isNotNull())
-        .withColumn("_lens", lengths)
-        .withColumn("_key", F.explode(F.array_distinct(F.flatten(pieces))))
-        .drop("_lens")
-    )
-    return (
-        keyed_texts.join(keyed, "_key").where(F.contains(text, needle)).drop("_key", "_len")
+    pieces = (
+        places.join(index, "_key")
+        .withColumn("_length", F.explode("_lengths"))
+        .withColumn(needle, F.substring(F.col(text), F.col("_at"), F.col("_length")))
+        # A piece counts once per text, at its first place.
+        .where(F.call_function("instr", F.col(text), F.col(needle)) == F.col("_at"))
+        .where(F.length(needle) == F.col("_length"))
+        .drop("_key", "_size", "_at", "_lengths", "_length")
     )
+    return pieces.join(needles, needle)
 
 
 def contained_names(

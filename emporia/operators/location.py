@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -78,17 +78,19 @@ def train_location_model(cells: DataFrame, trees: int = TREES, seed: int = 42) -
     rows = work_table(
         cell_features(cells).withColumn("is_train", in_training(["category", "region"], seed))
     )
-    codes = StringIndexer(
-        inputCols=["category", "region"], outputCols=["category_code", "region_code"],
-        stringOrderType="alphabetAsc", handleInvalid="keep",
-    ).fit(rows)
     stages = [
-        codes,
+        StringIndexer(
+            inputCols=["category", "region"], outputCols=["category_index", "region_index"],
+            stringOrderType="alphabetAsc", handleInvalid="keep",
+        ),
+        # The trees split on the codes as numbers, so their marking as categories is taken off.
+        SQLTransformer(
+            statement="SELECT *, category_index + 0D AS category_code, region_index + 0D AS region_code FROM __THIS__"
+        ),
         VectorAssembler(inputCols=FEATURES, outputCol="features"),
         RandomForestRegressor(
             featuresCol="features", labelCol="revenue", numTrees=trees, maxDepth=DEPTH,
             minInstancesPerNode=LEAF, featureSubsetStrategy="all", seed=seed,
-            maxBins=max(32, *[len(a) + 1 for a in codes.labelsArray]),
         ),
     ]
     model = Pipeline(stages=stages).fit(rows.where("is_train"))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from emporia.functions.text import contains_join, plain_words
 from emporia.sources.store import work_table
 
+# Texts and names of at most this many distinct words are matched through word subsets.
+SUBSET_WORDS = 8
+
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).where(F.col(column).isNotNull()).distinct()
@@ -66,6 +69,68 @@ def customer_history(fact: DataFrame, client_id: str) -> DataFrame:
     return fact.where(F.col("client_id") == client_id).withColumns(doubles)
 
 
+def word_subsets(words: Column) -> Column:
+    """All non-empty subsets of a short sorted word list, each as one text."""
+    masks = F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.size(words)) - 1).cast("int"))
+
+    def member(mask: Column):
+        return lambda word, at: F.call_function("shiftright", mask, at).bitwiseAND(F.lit(1)) == 1
+
+    return F.transform(masks, lambda mask: F.array_join(F.filter(words, member(mask)), " "))
+
+
+def best_shared_words(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(_q, _shared_name): the name sharing most words with each distinct text `_q`, if any.
+
+    A word repeated in the text counts each time. Texts and names of few words meet through their
+    word subsets: the index keeps one name per subset, so a word in very many names costs a text
+    one row. Longer ones, which are rare, meet name by name on their words.
+    """
+    asked = texts.withColumn("_all", plain_words(F.col("_q"))).withColumn(
+        "_words", F.array_sort(F.array_distinct("_all"))
+    )
+    folded = (
+        names.groupBy(F.array_sort(F.array_distinct(plain_words(F.col("_low")))).alias("_words"))
+        .agg(F.min("product_name").alias("_name"))
+        .where(F.size("_words") > 0)
+    )
+    few = F.size("_words") <= SUBSET_WORDS
+
+    index = (
+        folded.where(few)
+        .select("_name", F.explode(word_subsets(F.col("_words"))).alias("_subset"))
+        .groupBy("_subset")
+        .agg(F.min("_name").alias("_name"))
+    )
+    by_subset = (
+        asked.where(few & (F.size("_words") > 0))
+        .select("_q", "_all", F.explode(word_subsets(F.col("_words"))).alias("_subset"))
+        .join(index, "_subset")
+        .withColumn("_members", F.split("_subset", " "))
+        .select(
+            "_q", "_name",
+            F.size(F.filter("_all", lambda w: F.array_contains("_members", w))).cast("bigint").alias("_shared"),
+        )
+    )
+
+    def word_by_word(left: DataFrame, right: DataFrame) -> DataFrame:
+        left_words = left.select("_q", F.explode("_all").alias("_word")).groupBy("_q", "_word")
+        return (
+            left_words.agg(F.count("*").alias("_times"))
+            .join(right.select("_name", F.explode("_words").alias("_word")), "_word")
+            .groupBy("_q", "_name")
+            .agg(F.sum("_times").alias("_shared"))
+        )
+
+    return (
+        by_subset.unionByName(word_by_word(asked.where(~few), folded))
+        .unionByName(word_by_word(asked.where(few), folded.where(~few)))
+        .groupBy("_q")
+        .agg(F.min(F.struct(-F.col("_shared"), F.col("_name").alias("name"))).alias("_best"))
+        .select("_q", F.col("_best.name").alias("_shared_name"))
+    )
+
+
 def match_product_name(queries: DataFrame, products: DataFrame, query: str = "query") -> DataFrame:
     """(query, matched): each distinct text with its product name, null when there is none.
 
@@ -74,8 +139,8 @@ def match_product_name(queries: DataFrame, products: DataFrame, query: str = "qu
     point. A blank text has no match.
 
     No rule compares all texts with all names: the first two look up an index of name beginnings
-    that keeps one name per beginning, the third joins on words after folding together names with
-    the same words, the fourth joins on four-letter pieces.
+    that keeps one name per beginning, the third an index of word subsets, the fourth joins on
+    pieces of the names.
     """
     asked = queries.select(query).distinct().withColumn("_q", F.lower(F.trim(query)))
     names = work_table(
@@ -95,25 +160,7 @@ def match_product_name(queries: DataFrame, products: DataFrame, query: str = "qu
     first = work_table(by_start.select(query, "_q", F.coalesce("_exact", "_prefix").alias("_start")))
     open_texts = first.where("_start IS NULL AND _q <> ''").select("_q").distinct()
 
-    asked_words = (
-        open_texts.withColumn("_word", F.explode(plain_words(F.col("_q"))))
-        .groupBy("_q", "_word")
-        .agg(F.count("*").alias("_times"))
-    )
-    name_words = (
-        names.groupBy(F.array_sort(F.array_distinct(plain_words(F.col("_low")))).alias("_words"))
-        .agg(F.min("product_name").alias("_name"))
-        .select("_name", F.explode("_words").alias("_word"))
-    )
-    by_words = (
-        asked_words.join(name_words, "_word")
-        .groupBy("_q", "_name")
-        .agg(F.sum("_times").alias("_shared"))
-        .groupBy("_q")
-        .agg(F.min(F.struct(-F.col("_shared"), F.col("_name").alias("name"))).alias("_best"))
-        .select("_q", F.col("_best.name").alias("_shared_name"))
-    )
-    by_words = work_table(by_words)
+    by_words = work_table(best_shared_words(open_texts, names))
     still_open = open_texts.join(by_words, "_q", "left_anti").where(F.length("_q") >= 4)
     by_part = (
         contains_join(names, "_low", still_open, "_q")

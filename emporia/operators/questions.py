@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from emporia.functions.text import contained_names, quoted_names
 from emporia.operators.basket import analyze_pairs, basket_items, basket_table, pair_counts
-from emporia.operators.topk import region_top_products
+from emporia.operators.topk import ranked_within, region_top_products
 from emporia.sources.store import work_table
 
 # The keywords that tell what a question asks for, matched anywhere in its
@@ -152,7 +152,7 @@ def answer_top_products(routed: DataFrame, fact: DataFrame) -> DataFrame:
         F.coalesce("delegation", F.lit(ALL)).alias("in_delegation"),
         "top_n",
     )
-    largest = asked.agg(F.max("top_n")).scalar()
+    largest = asked.agg(F.max("top_n")).first()[0] or 0
     places = ["category", "delegation"]
     counts = (
         fact.where("product_name IS NOT NULL")
@@ -171,10 +171,8 @@ def answer_top_products(routed: DataFrame, fact: DataFrame) -> DataFrame:
             "row_count",
         )
     )
-    rank = F.row_number().over(
-        W.partitionBy("in_category", "in_delegation").orderBy(F.desc("row_count"), "product_name")
-    )
-    ranked = work_table(counts.withColumn("rank", rank).where(F.col("rank") <= largest))
+    order = [F.desc("row_count"), F.col("product_name")]
+    ranked = work_table(ranked_within(counts, ["in_category", "in_delegation"], order, largest))
     return (
         asked.join(ranked, ["in_category", "in_delegation"])
         .where(F.col("rank") <= F.col("top_n"))
@@ -182,7 +180,7 @@ def answer_top_products(routed: DataFrame, fact: DataFrame) -> DataFrame:
     )
 
 
-def sliced_pairs(fact: DataFrame, slices: DataFrame, n: Column) -> DataFrame:
+def sliced_pairs(fact: DataFrame, slices: DataFrame, n: int) -> DataFrame:
     """The n most frequent pairs of each asked (in_category, in_delegation) slice.
 
     A purchase is copied to those of its four slices that were asked for.
@@ -201,8 +199,7 @@ def sliced_pairs(fact: DataFrame, slices: DataFrame, n: Column) -> DataFrame:
         .join(work_table(slices.select(*by).distinct()), by, "left_semi")
     )
     pairs = pair_counts(basket_table(basket_items(rows, by=by), by=by), by=by)
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("frequency"), "x", "y"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= n)
+    return ranked_within(pairs, by, [F.desc("frequency"), F.col("x"), F.col("y")], n)
 
 
 def answer_pairs(routed: DataFrame, fact: DataFrame) -> DataFrame:
@@ -222,8 +219,10 @@ def answer_pairs(routed: DataFrame, fact: DataFrame) -> DataFrame:
         F.trim(F.col("products")[0]).alias("product_1"),
         F.trim(F.col("products")[1]).alias("product_2"),
     ).where("product_1 <> '' AND product_2 <> ''")
-    analyzed = analyze_pairs(fact, named).select(
-        "product_1", "product_2", "matched_1", "matched_2", "frequency", "confidence", "tier"
+    analyzed = work_table(
+        analyze_pairs(fact, named).select(
+            "product_1", "product_2", "matched_1", "matched_2", "frequency", "confidence", "tier"
+        )
     )
     about_names = named.join(analyzed, ["product_1", "product_2"]).select(
         *KEYS, F.lit(1).alias("rank"),
@@ -232,7 +231,7 @@ def answer_pairs(routed: DataFrame, fact: DataFrame) -> DataFrame:
         "frequency", "confidence", "tier",
     )
     open_questions = asked.where(F.size("products") < 2)
-    largest = open_questions.agg(F.max("top_n")).scalar()
+    largest = open_questions.agg(F.max("top_n")).first()[0] or 0
     ranked = work_table(sliced_pairs(fact, open_questions, largest))
     about_slices = (
         open_questions.join(ranked, ["in_category", "in_delegation"])

@@ -68,9 +68,10 @@ def frequent_itemsets(
     grow. Each level is a stored table, and the loop ends at the first level without one.
     """
     keys = keys or BASKET_KEYS
+    matrix = work_table(matrix)
     n = matrix.select(*keys).distinct().agg(F.count("*")).scalar()
     present = matrix.where("present") if "present" in matrix.columns else matrix
-    rows = work_table(present.select(*keys, "item", n.alias("n")))
+    rows = present.select(*keys, "item", n.alias("n"))
     needed = min_support * F.col("n")
 
     item_counts = rows.groupBy("item", "n").agg(F.count("*").alias("_c"))
@@ -111,8 +112,9 @@ def frequent_itemsets(
 
 def fp_itemsets(baskets: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
     """The same itemsets by FP-growth over (items) arrays, for sparse baskets of any length."""
+    baskets = work_table(baskets.select("items"))
     n = baskets.agg(F.count("*")).scalar()
-    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets.select("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets)
     return model.freqItemsets.select(
         F.array_sort("items").alias("items"),
         F.col("freq").alias("count"),

@@ -11,6 +11,9 @@ from emporia.operators.lookup import filter_slice
 # Weights of the product score.
 VOLUME_WEIGHT, REVENUE_WEIGHT, FREQUENCY_WEIGHT = 0.5, 0.3, 0.2
 
+# Spark's own bound for trimming ranked groups before a shuffle, and our parts beyond it.
+SPARK_TRIMS_UP_TO, PARTS = 1000, 64
+
 
 def top_by(fact: DataFrame, key: str, measure: Column, into: str, n: int | None) -> DataFrame:
     totals = fact.where(F.col(key).isNotNull()).groupBy(key).agg(measure.alias(into))
@@ -19,8 +22,16 @@ def top_by(fact: DataFrame, key: str, measure: Column, into: str, n: int | None)
 
 
 def ranked_within(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first n rows per group with their `rank`; Spark trims each task's rows to n per group
-    before the shuffle."""
+    """The first n rows per group with their `rank`.
+
+    For usual n Spark trims each task's rows to n per group before the shuffle. It does not for
+    large n, so then groups are first cut into parts and each part is trimmed on its own.
+    """
+    if n > SPARK_TRIMS_UP_TO:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(PARTS))
+        within = F.row_number().over(W.partitionBy(*group, "_part").orderBy(*order))
+        df = df.withColumn("_part", part).withColumn("_place", within).where(F.col("_place") <= n)
+        df = df.drop("_part", "_place")
     rank = F.row_number().over(W.partitionBy(*group).orderBy(*order))
     return df.withColumn("rank", rank).where(F.col("rank") <= n)
 
