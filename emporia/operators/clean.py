@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emporia.schema import NUMBER_COLUMNS, TEXT_COLUMNS
@@ -12,7 +12,6 @@ from emporia.schema import NUMBER_COLUMNS, TEXT_COLUMNS
 # Texts that stand for "nothing" in a product's name, brand or category.
 NULLISH = ["nan", "none", "", "unknown", "inconnu", "n/a", "na"]
 
-NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 DEDUP_KEYS = ["client_id", "purchase_date", "product_id", "total_price", "quantity"]
 
 
@@ -21,11 +20,20 @@ class CleanPurchases(NamedTuple):
     products: DataFrame
 
 
+def number(column: str) -> Column:
+    """Plain decimal or exponent notation, else null.
+
+    A cast alone would also take `1d`, `NaN` or hexadecimal; plain text tests rule those out more
+    cheaply than a pattern.
+    """
+    text = F.lower(F.trim(column))
+    odd = text.contains("n") | text.contains("x") | F.right(text, F.lit(1)).isin("d", "f")
+    return F.when(~odd, text.try_cast("double"))
+
+
 def coerce_types(raw: DataFrame, date_format: str = "d/M/yyyy") -> DataFrame:
     """Numbers and day-first dates from text; whatever does not parse becomes null."""
-    numbers = {
-        c: F.when(F.col(c).rlike(NUMBER_PATTERN), F.trim(c).try_cast("double")) for c in NUMBER_COLUMNS
-    }
+    numbers = {c: number(c) for c in NUMBER_COLUMNS}
     day = F.try_to_timestamp(F.col("purchase_date"), F.lit(date_format)).cast("date")
     return raw.withColumns({**numbers, "purchase_date": day})
 
@@ -44,7 +52,7 @@ def normalize_text(df: DataFrame) -> DataFrame:
 
 def drop_nullish(df: DataFrame) -> DataFrame:
     for c in TEXT_COLUMNS:
-        df = df.where(F.col(c).isNotNull() & ~F.col(c).isin(NULLISH))
+        df = df.where(~F.col(c).isin(NULLISH))  # a null is dropped as well
     return df
 
 

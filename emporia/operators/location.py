@@ -37,15 +37,34 @@ class LocationModel(NamedTuple):
     metrics: DataFrame
 
 
+def money_sum(column: str) -> Column:
+    """A sum at four decimals, so that it does not depend on the order of adding."""
+    return F.round(F.sum(column), 4)
+
+
 def category_region_revenue(fact: DataFrame) -> DataFrame:
     """The cells: Σ price per category and region."""
     return (
         fact.dropna(subset=["total_price", "category", "delegation"])
         .groupBy("category", F.col("delegation").alias("region"))
-        .agg(F.sum("total_price").alias("revenue"))
+        .agg(money_sum("total_price").alias("revenue"))
     )
 
 
+def region_detail(fact: DataFrame) -> DataFrame:
+    """Stored Σ price per category, brand, product name and region: all that requests need."""
+    return work_table(
+        fact.dropna(subset=["total_price", "category", "delegation"])
+        .groupBy("category", "brand", "product_name", F.col("delegation").alias("region"))
+        .agg(money_sum("total_price").alias("revenue"))
+    )
+
+
+def detail_cells(detail: DataFrame) -> DataFrame:
+    """The cells, summed up from `region_detail` instead of the purchases."""
+    return work_table(detail.groupBy("category", "region").agg(money_sum("revenue").alias("revenue")))
+
+
 def location_means(cells: DataFrame) -> DataFrame:
     """(kind, key, mean_revenue): mean cell per region, per category and of all."""
     means = cells.groupingSets(
@@ -172,10 +191,10 @@ def predict_region_revenue(
     )
 
 
-def filter_region_stats(fact: DataFrame, requests: DataFrame) -> DataFrame:
+def filter_region_stats(detail: DataFrame, requests: DataFrame) -> DataFrame:
     """Σ price per region over the category's purchases whose brand and name contain the asked texts.
 
-    Requests are (category, brand, product_name), an empty text meaning "not asked". Each distinct
+    `detail` comes from `region_detail`. Requests are (category, brand, product_name), an empty text meaning "not asked". Each distinct
     request gives its regions; one without any match gives a single row with no region and
     `missing` naming the text that failed ("brand" or "product_name").
     """
@@ -183,10 +202,8 @@ def filter_region_stats(fact: DataFrame, requests: DataFrame) -> DataFrame:
         requests.select(*REQUEST).where("brand <> '' OR product_name <> ''").distinct()
         .withColumn("_brand", F.lower("brand")).withColumn("_name", F.lower("product_name"))
     )
-    detail = work_table(
-        fact.dropna(subset=["total_price", "category", "delegation"])
-        .groupBy("category", F.col("brand").alias("_of_brand"), F.col("product_name").alias("_of_name"), F.col("delegation").alias("region"))
-        .agg(F.sum("total_price").alias("_revenue"))
+    detail = detail.withColumnsRenamed(
+        {"brand": "_of_brand", "product_name": "_of_name", "revenue": "_revenue"}
     )
     brands = detail.select("_of_brand").distinct().withColumn("_low", F.lower("_of_brand"))
     names = detail.select("_of_name").distinct().withColumn("_low", F.lower("_of_name"))
@@ -244,17 +261,18 @@ def clean_requests(requests: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def rank_regions(
-    fact: DataFrame, requests: DataFrame, cells: DataFrame | None = None, model: PipelineModel | None = None
+    detail: DataFrame, requests: DataFrame, cells: DataFrame | None = None, model: PipelineModel | None = None
 ) -> DataFrame:
     """The top_n regions for each distinct (category, brand, product_name, top_n) request.
 
     A region's value is the revenue matching the request; where there is none, a tenth of its
     prediction. A request without texts, or whose texts match nothing, is ranked by prediction.
+    `detail` comes from `region_detail`; the purchases themselves are scanned once, for it.
     """
-    cells = work_table(category_region_revenue(fact)) if cells is None else cells
+    cells = detail_cells(detail) if cells is None else cells
     asked = work_table(clean_requests(requests, cells))
     predicted = predict_region_revenue(cells, asked, model)
-    stats = work_table(filter_region_stats(fact, asked))
+    stats = work_table(filter_region_stats(detail, asked))
     status = stats.select(*REQUEST, "missing").distinct()
     sums = stats.where("region IS NOT NULL").select(*REQUEST, "region", F.col("revenue").alias("_sum"))
     valued = (

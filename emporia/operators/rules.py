@@ -62,28 +62,35 @@ def frequent_itemsets(
 ) -> DataFrame:
     """(items, count, n, support) of every itemset in at least `min_support` of the N baskets.
 
-    `matrix` has the basket keys, `item` and, if returns matter, `present`. Infrequent items go
-    first; baskets left equal fold into one weighted set. Then itemsets grow one item at a time:
-    a set keeps the items after its last one, equal rests fold together, and only frequent sets
-    grow. Each level is a stored table, and the loop ends at the first level without one.
+    `matrix` has the basket keys, `item` and, if returns matter, `present`. Equal baskets fold into
+    one weighted set before anything is counted. Infrequent items go first; then itemsets grow one
+    item at a time: a set keeps the items after its last one, equal rests fold together, and only
+    frequent sets grow. Each level is a stored table, and the loop ends at the first level without
+    one.
     """
     keys = keys or BASKET_KEYS
-    matrix = work_table(matrix)
-    n = matrix.select(*keys).distinct().agg(F.count("*")).scalar()
-    present = matrix.where("present") if "present" in matrix.columns else matrix
-    rows = present.select(*keys, "item", n.alias("n"))
+    item = F.when(F.col("present"), F.col("item")) if "present" in matrix.columns else F.col("item")
+    folded = work_table(
+        matrix.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("rest"))
+        .groupBy("rest").agg(F.count("*").alias("w"))
+    )
+    n = folded.agg(F.sum("w")).scalar()
     needed = min_support * F.col("n")
 
-    item_counts = rows.groupBy("item", "n").agg(F.count("*").alias("_c"))
-    frequent_items = work_table(item_counts.where(F.col("_c") >= needed).select("item"))
-    sets = (
-        rows.join(frequent_items, "item", "left_semi")
-        .groupBy(*keys, "n")
+    numbered = folded.withColumn("set", F.monotonically_increasing_id())
+    items = numbered.select("set", "w", F.explode("rest").alias("item"))
+    frequent_items = work_table(
+        items.groupBy("item").agg(F.sum("w").alias("c")).withColumn("n", n)
+        .where(F.col("c") >= needed).select("item", "n")
+    )
+    state = (
+        items.join(frequent_items, "item")
+        .groupBy("set", "w", "n")
         .agg(F.array_sort(F.collect_list("item")).alias("rest"))
         .groupBy("rest", "n")
-        .agg(F.count("*").alias("w"))
+        .agg(F.sum("w").alias("w"))
+        .withColumn("items", F.array().cast("array<string>"))
     )
-    state = sets.select(F.array().cast("array<string>").alias("items"), "rest", "n", "w")
     found: DataFrame | None = None
     size = 0
     while max_len is None or size < max_len:

@@ -15,7 +15,7 @@ PLACE_COLUMNS = ["category", "delegation", "locality", "purchase_date", "total_p
 FOREST, ROUNDS = 20, 10
 
 CELLS = """cells AS (
-  SELECT category, delegation AS region, sum(total_price) AS revenue FROM sales
+  SELECT category, delegation AS region, round(sum(total_price), 4) AS revenue FROM sales
   WHERE category IS NOT NULL AND delegation IS NOT NULL AND total_price IS NOT NULL GROUP BY 1, 2
 )"""
 
@@ -143,9 +143,9 @@ REGION_STATS = """asked AS (
     {r('s.revenue', 2)} AS revenue FROM states t LEFT JOIN sums s USING (category, brand, product_name)""",
 )
 def q_filter_region_stats(spark, folder):
-    fact = sales(spark, folder, *REQUEST_COLUMNS)
-    asked = location.clean_requests(location_requests(spark, folder), fact)
-    return tidy(location.filter_region_stats(fact, asked), 2)
+    detail = location.region_detail(sales(spark, folder, *REQUEST_COLUMNS))
+    asked = location.clean_requests(location_requests(spark, folder), detail)
+    return tidy(location.filter_region_stats(detail, asked), 2)
 
 
 @register(
@@ -174,7 +174,8 @@ def q_filter_region_stats(spark, folder):
 )
 def q_rank_regions(spark, folder):
     """Without the model term."""
-    return location.rank_regions(sales(spark, folder, *REQUEST_COLUMNS), location_requests(spark, folder))
+    detail = location.region_detail(sales(spark, folder, *REQUEST_COLUMNS))
+    return location.rank_regions(detail, location_requests(spark, folder))
 
 
 @register("location_model")
@@ -192,10 +193,10 @@ def q_location_metrics(spark, folder):
 
 @register("rank_regions_with_model")
 def q_rank_regions_with_model(spark, folder):
-    fact = sales(spark, folder, *REQUEST_COLUMNS)
-    known = work_table(cells(spark, folder))
+    detail = location.region_detail(sales(spark, folder, *REQUEST_COLUMNS))
+    known = location.detail_cells(detail)
     model = location.train_location_model(known).model
-    return location.rank_regions(fact, location_requests(spark, folder), known, model)
+    return location.rank_regions(detail, location_requests(spark, folder), known, model)
 
 
 @register(

@@ -61,7 +61,7 @@ def test_ranked_regions(spark, fact, cells):
         [("DRINKS", " ACM ", None, 2), ("toys", "", "toys 2", 3), ("toys", "nobody", "toys", 1), ("food", "best", "9", 1), (None, "", "", 3)],
         "category string, brand string, product_name string, top_n int",
     )
-    rows = location.rank_regions(fact, requests, cells).collect()
+    rows = location.rank_regions(location.region_detail(fact), requests, cells).collect()
     of = {}
     for r in sorted(rows, key=lambda r: r["rank"]):
         of.setdefault((r.category, r.brand, r.product_name), []).append(r)
