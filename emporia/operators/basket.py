@@ -5,7 +5,7 @@ N is the number of baskets, s(x) the baskets holding x, f(x, y) the baskets hold
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -133,6 +133,20 @@ def pair_metrics(fact: DataFrame, item: str = "product_name") -> DataFrame:
     return with_metrics(pair_counts(baskets), work_table(item_support(baskets)))
 
 
+def save_basket_tables(fact: DataFrame, path: str) -> None:
+    """Keep item supports and pair counts, so that later questions need no purchases."""
+    baskets = basket_table(basket_items(fact))
+    item_support(baskets).write.mode("overwrite").parquet(f"{path}/item_support")
+    pair_counts(baskets).write.mode("overwrite").parquet(f"{path}/pair_counts")
+
+
+def load_basket_tables(spark: SparkSession, path: str) -> DataFrame:
+    """`pair_metrics` from saved tables."""
+    return with_metrics(
+        spark.read.parquet(f"{path}/pair_counts"), spark.read.parquet(f"{path}/item_support")
+    )
+
+
 def association_score(confidence: Column, lift: Column, frequency: Column) -> Column:
     """Confidence × lift, boosted by the logarithm of the frequency for positive association."""
     return F.when(lift >= 1, confidence * lift * F.log1p(frequency)).otherwise(confidence * lift)
@@ -264,7 +278,14 @@ def analyze_pairs(
         matches.select(F.col("query").alias("product_2"), F.col("matched").alias("matched_2")),
         "product_2", "left",
     )
-    baskets = basket_table(basket_rows(filter_slice(fact, category, delegation)))
+    wanted = matches.select(F.trim("matched").alias("_wanted")).where("_wanted <> ''").distinct()
+    # Names nobody asked for become one null per basket: it still counts, but pairs nothing.
+    rows = (
+        filter_slice(fact, category, delegation)
+        .join(wanted, F.trim("product_name") == F.col("_wanted"), "left")
+        .withColumn("product_name", F.col("_wanted"))
+    )
+    baskets = basket_table(basket_rows(rows))
     support = work_table(item_support(baskets))
     return score_pairs(resolved, support, pair_counts(baskets), basket_count(baskets))
 

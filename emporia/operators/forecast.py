@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emporia.operators.kpi import monthly_series
-from emporia.operators.lookup import contains_text
+from emporia.operators.lookup import filter_product
 from emporia.sources.store import work_table
 
 # Settings of the boosted trees and the least number of usable months.
@@ -232,12 +232,14 @@ def forecast_total(fact: DataFrame, periods: int = 6, **settings) -> DataFrame:
     return forecast_recursive(series, train_boosted(series, **settings).model, periods)
 
 
-def forecast_product(fact: DataFrame, name: str, periods: int = 3, **settings) -> DataFrame:
-    """Forecast of the sum over the products whose name contains `name`.
+def forecast_product(
+    fact: DataFrame, name: str, periods: int = 3, exact: bool = False, **settings
+) -> DataFrame:
+    """Forecast of the sum over the products whose name contains `name`, or is it if `exact`.
 
     (ds, yhat, error): one row with only `error` when nothing matches or there are too few months.
     """
-    series = work_table(monthly_series(fact.where(contains_text("product_name", name))))
+    series = work_table(monthly_series(filter_product(fact, name, exact)))
     months = series.count()
     if months < MIN_MONTHS:
         reason = "product not found" if months == 0 else "not enough data"

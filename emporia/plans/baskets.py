@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from emporia.operators import basket, rules
@@ -7,6 +9,7 @@ from emporia.plans.registry import r, register, texts, tidy
 from emporia.plans.views import BASKETS, SALES
 from emporia.schema import BASKET_KEYS
 from emporia.sources.star import sales, table
+from emporia.sources.store import shared_dir
 
 ITEM_COLUMNS = ["client_id", "purchase_date", "product_name"]
 
@@ -53,15 +56,23 @@ def q_top_pairs_in_slice(spark, folder):
     return basket.top_pairs(purchases(spark, folder, "category", "delegation"), "PROMO", "ASIA", 7)
 
 
-@register(
-    "pair_metrics",
-    f"""WITH {SALES}, {BASKETS} SELECT x, y, frequency, support_x, support_y, n, {r('confidence')} AS confidence,
-    {r('expected')} AS expected, {r('lift')} AS lift FROM metrics""",
-)
+PAIR_METRICS_SQL = f"""WITH {SALES}, {BASKETS} SELECT x, y, frequency, support_x, support_y, n, {r('confidence')} AS confidence,
+    {r('expected')} AS expected, {r('lift')} AS lift FROM metrics"""
+
+
+@register("pair_metrics", PAIR_METRICS_SQL)
 def q_pair_metrics(spark, folder):
     return tidy(basket.pair_metrics(purchases(spark, folder)))
 
 
+@register("saved_basket_tables", PAIR_METRICS_SQL)
+def q_saved_basket_tables(spark, folder):
+    """The same from supports and pair counts that were saved and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/emporia/baskets-{uuid.uuid4().hex}"
+    basket.save_basket_tables(purchases(spark, folder), path)
+    return tidy(basket.load_basket_tables(spark, path))
+
+
 PLACED = f"""placed AS (
   SELECT x, y, frequency, {r('confidence', 1)} AS confidence, {r('lift', 2)} AS lift,
     {r('CASE WHEN lift >= 1 THEN confidence * lift * ln(1 + frequency) ELSE confidence * lift END', 2)} AS score,
