@@ -212,7 +212,7 @@ def q_sales_features_v2(spark, folder):
     "sales_features_v1",
     f"""WITH {SALES} SELECT category, delegation, locality, CAST(month(purchase_date) AS INTEGER) AS month,
     CAST(isodow(purchase_date) - 1 AS INTEGER) AS day_of_week, {r('sum(total_price)', 6)} AS revenue,
-    {r('sum(quantity)', 6)} AS quantity, {r('avg(unit_price)', 6)} AS mean_unit_price FROM sales GROUP BY 1, 2, 3, 4, 5""",
+    {r('sum(quantity)', 6)} AS quantity, {r('round(sum(unit_price), 4) / count(unit_price)', 6)} AS mean_unit_price FROM sales GROUP BY 1, 2, 3, 4, 5""",
 )
 def q_sales_features_v1(spark, folder):
     return tidy(sales_model.sales_features_v1(v1_fact(spark, folder)), 6)

@@ -90,6 +90,7 @@ def main() -> None:
                 faults = [] if n else ["empty result"]
         except Exception as error:  # report and go on
             faults, took = [f"{type(error).__name__}: {str(error)[:600]}"], 0
+        spark.catalog.clearCache()
         bad += bool(faults)
         print(f"{'BAD' if faults else 'ok '} {name} spark {took:.1f}s all {time.time() - started:.1f}s {'; '.join(faults)}", flush=True)
     print("bad:", bad)
