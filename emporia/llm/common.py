@@ -45,9 +45,9 @@ def running_total(df: DataFrame, group: str, order: str, value: str, into: str,
     `order` is a hash (long). The group, however large, is cut into hash ranges: sums per range give
     each range its offset, and only the rows of one range are sorted in one task.
     """
-    width = 2**64 // buckets + 1
-    place = (F.col(order).cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")) / F.lit(width)
-    rows = df.withColumn("_range", F.floor(place).cast("int"))
+    bits = (buckets - 1).bit_length()
+    top = F.shiftright(F.col(order), 64 - bits) if bits else F.lit(0)  # keeps the sign, so ranges sort as hashes do
+    rows = df.withColumn("_range", top.cast("int"))
     sums = rows.groupBy(group, "_range").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(

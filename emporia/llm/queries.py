@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emporia.llm import simhash
+from emporia.llm import mixing, sharding, simhash
 from emporia.llm.common import documents
 
 QUERIES = {}
@@ -21,3 +21,16 @@ def query(run):
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     prints = documents(spark, folder).select("doc_id", simhash.fingerprint(F.col("text")).alias("_fp"))
     return simhash.classify(prints)
+
+
+@query
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return sharding.shard(documents(spark, folder)).select(*columns)
+
+
+@query
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(documents(spark, folder, "doc_id", "text", "source")).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
