@@ -126,12 +126,22 @@ def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHT
     A null text has size 0; a null source is a source of its own, last in order. Repeated rows count
     one by one. Columns named like the added ones are replaced; an empty table gives an empty result.
     """
-    rows = fresh(docs, *ADDED).withColumns(
-        {"size": word_count(F.col("text")), "_order": F.xxhash64("doc_id", "text", F.lit(seed))}
-    )
-    sized = work_table(rows.select("doc_id", "source", "size", "_order"))
-    total, count = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    targets = work_table(source_targets(sized))
+    return mix_sized(sized(fresh(docs, *ADDED), seed), shards, weights, seed)
+
+
+def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """Add the size and the seeded order of a row."""
+    order = F.xxhash64("doc_id", "text", F.lit(seed))
+    return docs.withColumns({"size": word_count(F.col("text")), "_order": order})
+
+
+def mix_sized(
+    rows: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED
+) -> DataFrame:
+    """`mix` for rows that have `size` and `_order`, whose text is no longer needed."""
+    rows = work_table(rows)
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    targets = work_table(source_targets(rows))
     unit = block_size(total, shards)
     quotas = shard_quotas(targets, round(total / unit), shards).groupBy("rank").agg(F.sum("quota").alias("quota"))
     ring = F.ceil(F.col("source_size") / unit)
@@ -148,7 +158,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHT
             F.pmod(F.xxhash64("source", F.lit(seed)), F.col("_ring")).alias("_first"),
         )
     )
-    placed = running_total(rows, "source", "_order", "size", "_begin", buckets_for(count))
+    placed = running_total(rows, "source", "_order", "size", "_begin", buckets_for(count, 2000))
     found = placed.join(work_table(plan), F.col("source").eqNullSafe(F.col("_source")))
     end = F.col("_begin") + F.col("size")
 

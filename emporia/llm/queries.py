@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emporia.llm import mixing, sharding, simhash
-from emporia.llm.common import documents
+from emporia.llm import mixing, quality, sharding, simhash, url_filter
+from emporia.llm.common import documents, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,82 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(documents(spark, folder, "doc_id", "text", "source")).select(
-        "doc_id", "size", "source_size", "target", "taken"
-    )
+    rows = mixing.sized(documents(spark, folder, "doc_id", "text", "source")).drop("text")
+    return mixing.mix_sized(rows).drop("source")
+
+
+@query
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(documents(spark, folder)).drop("text")
+
+
+ORACLES["op2_quality"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^ \t-\r]+') AS words, string_split(text, chr(10)) AS lines FROM d
+), g AS (
+  SELECT *, [l FOR l IN lines IF regexp_matches(l, '[^ \t-\r]')] AS full_lines,
+         [words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] FOR i IN range(1, len(words) - 1)] AS windows
+  FROM w
+), places AS (
+  SELECT doc_id, unnest(windows) AS win, generate_subscripts(windows, 1) AS i FROM g
+), again AS (
+  SELECT doc_id, i FROM places QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY 1
+), f AS (
+  SELECT g.doc_id, text, words, lines, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(full_lines) - len(list_distinct(full_lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM g LEFT JOIN covered ON g.doc_id = covered.doc_id
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed
+       AND 10 * n_symbols <= n_words
+       AND 100 * n_repeat_words <= 20 * n_words
+       AND 10 * n_dup_lines <= 3 * len(lines)
+       AND word_chars BETWEEN 2 * n_words AND 20 * n_words
+       AND 10 * len([l FOR l IN lines IF regexp_matches(l, '(\.\.\.|…)[ \t]*$')]) <= 3 * len(lines)
+       AND 10 * len([l FOR l IN lines IF regexp_matches(l, '^[ \t]*[-•]')]) <= 9 * len(lines)
+       AND 10 * len([x FOR x IN words IF regexp_matches(x, '\p{L}')]) >= 7 * n_words
+       AND 100 * len(list_distinct(words)) >= 5 * n_words AS kept
+FROM b
+"""
+
+# Fixed values of the contract: the URL rules.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@query
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, url_filter.RULES_SCHEMA)
+    return url_filter.judge_urls(table(spark, folder, "pages", "page_id", "url"), rules).drop("url")
+
+
+ORACLES["op8_url_filter"] = r"""
+WITH r(host, path, verdict) AS (VALUES """ + ", ".join(map(str, URL_RULES)) + r"""
+), u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u
+), p AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+  FROM h
+)
+SELECT p.page_id, p.host, p.path, max_by(r.host || r.path, length(r.host || r.path)) AS rule,
+       coalesce(max_by(r.verdict, length(r.host || r.path)), 'allow') AS verdict
+FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+GROUP BY p.page_id, p.host, p.path
+"""
