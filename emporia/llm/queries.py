@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emporia.llm import mixing, quality, sharding, simhash, url_filter
+from emporia.llm import decontamination, mixing, quality, sharding, simhash, toxicity, url_filter
 from emporia.llm.common import documents, table
 
 QUERIES = {}
@@ -110,3 +110,22 @@ SELECT p.page_id, p.host, p.path, max_by(r.host || r.path, length(r.host || r.pa
 FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
 GROUP BY p.page_id, p.host, p.path
 """
+
+
+@query
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "benchmark", "item_id", "text")
+    return decontamination.overlaps(documents(spark, folder), items).drop("key")
+
+
+def held_out():
+    """True for the third of the rows whose labels are not learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    labels = table(spark, folder, "labels", "doc_id", "toxic").where(~held_out())
+    model = toxicity.train(docs, labels)
+    return toxicity.scored(docs.withColumn("held_out", held_out()), model).drop("text")
