@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emporia.llm import decontamination, mixing, quality, sharding, simhash, toxicity, url_filter
+from emporia.llm import decontamination, mixing, quality, sharding, simhash, token_files, toxicity, url_filter
 from emporia.llm.common import documents, table
+from emporia.sources.store import shared_dir
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +132,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels", "doc_id", "toxic").where(~held_out())
     model = toxicity.train(docs, labels)
     return toxicity.scored(docs.withColumn("held_out", held_out()), model).drop("text")
+
+
+@query
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = f"{shared_dir(spark).rstrip('/')}/emporia/{uuid.uuid4().hex}"
+    token_files.write_token_files(documents(spark, folder), files)
+    return token_files.read_documents(spark, files, with_ids=False)
