@@ -87,7 +87,7 @@ class Encoder:
         for text in texts:
             if not text:
                 plans.append(None)
-            elif not text.isascii() and ODD.search(text) or "<|endoftext|>" in text or ODD.search(text):
+            elif ODD.search(text):
                 plans.append(len(odd))
                 odd.append(text)
             elif any(r in text for r in RUNS):
