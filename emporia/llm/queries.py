@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emporia.llm import decontamination, mixing, quality, sharding, simhash, token_files, toxicity, url_filter
+from emporia.llm import (
+    decontamination, lm_scoring, mixing, quality, sharding, simhash, token_counts, token_files, toxicity, url_filter,
+)
 from emporia.llm.common import documents, table
 from emporia.sources.store import shared_dir
 
@@ -139,3 +141,15 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = f"{shared_dir(spark).rstrip('/')}/emporia/{uuid.uuid4().hex}"
     token_files.write_token_files(documents(spark, folder), files)
     return token_files.read_documents(spark, files, with_ids=False)
+
+
+@query
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, folder)).drop("text")
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Likeness to the benchmark's texts, with all documents as the background."""
+    docs = documents(spark, folder)
+    return lm_scoring.score(docs, table(spark, folder, "benchmark", "text"), docs.select("text")).drop("text")
