@@ -20,6 +20,8 @@ SUBSTITUTED = 2  # of them that may differ
 MASKS = ((0, 3, 7, 8, 9, 10), (0, 1, 2, 3, 5, 6))
 SHORTEST = 5  # items of fewer words say nothing about their source
 FILTER_BITS = 24  # the prefilter of training hashes has 2^24 bits, whatever the benchmark
+PROBES = (40, 16, 0)  # shifts that give the bits of a hash in it
+SLICE = 512  # documents hashed at once
 CACHED_WORDS = 400_000
 WORD = re.compile(r"\w+")
 
@@ -95,15 +97,26 @@ def item_seeds(items: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
 
 
 def prefilter(seeds: DataFrame) -> np.ndarray:
-    """A bitmap of the leading bits of the benchmark's hashes: 2 MB at most, also on the driver."""
-    top = F.shiftrightunsigned("hash", 64 - FILTER_BITS).cast("int")
+    """A bitmap of three bits for each of the benchmark's hashes: 2 MB at most, also on the driver."""
+    places = [F.shiftrightunsigned("hash", n).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for n in PROBES]
+    top = F.col("top").cast("int")
     bits = F.bit_or(F.call_function("shiftleft", F.lit(1), top % 8))
-    rows = seeds.groupBy(F.shiftright(top, 3).alias("byte")).agg(bits.alias("bits")).toPandas()
+    marked = seeds.select(F.explode(F.array(*places)).alias("top"))
+    rows = marked.groupBy(F.shiftright(top, 3).alias("byte")).agg(bits.alias("bits")).toPandas()
     bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     bitmap[rows.byte.to_numpy(np.int64)] = rows.bits.to_numpy(np.uint8)
     return bitmap
 
 
+def probed(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Places of the hashes all of whose bits are set."""
+    places = np.arange(len(hashes))
+    for n in PROBES:
+        top = (hashes[places] >> np.uint64(n)) & np.uint64((1 << FILTER_BITS) - 1)
+        places = places[bitmap[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8) & 1 == 1]
+    return places
+
+
 def possible_hits(docs: DataFrame, masks: list[tuple[int, ...]], bitmap: np.ndarray) -> DataFrame:
     """Documents with masked hashes that may be in the benchmark: grams, and mask, place and hash of each."""
     schema = pa.schema(
@@ -118,7 +131,7 @@ def possible_hits(docs: DataFrame, masks: list[tuple[int, ...]], bitmap: np.ndar
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             # Documents stand behind one another, so that whole batches are hashed at once.
             each = [grams(t) for t in batch.column("text").to_pylist()]
             ends = np.cumsum([len(g) for g in each])
@@ -126,12 +139,13 @@ def possible_hits(docs: DataFrame, masks: list[tuple[int, ...]], bitmap: np.ndar
             found = []
             for k, mask in enumerate(masks):
                 hashes = seed_hashes(values, mask)
-                top = hashes >> np.uint64(64 - FILTER_BITS)
-                hit = np.nonzero(bitmap[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8) & 1)[0]
+                hit = probed(hashes, bitmap)
                 doc = np.searchsorted(ends, hit, side="right")
                 inside = hit + mask[-1] < ends[doc] if len(hit) else np.zeros(0, bool)
                 found.append((doc[inside], np.full(inside.sum(), k), hit[inside], hashes[hit[inside]]))
             doc, mask_of, at, hashes = (np.concatenate(x) for x in zip(*found))
+            if not len(doc):
+                continue
             order = np.argsort(doc, kind="stable")
             doc, mask_of, at, hashes = doc[order], mask_of[order], at[order], hashes[order].view(np.int64)
             chosen, first = np.unique(doc, return_index=True)
