@@ -20,12 +20,13 @@ END_ID = 2
 LIMIT = 16  # longest code in bits; the decoding table has 2^16 entries
 BLOCK_IDS = 1 << 18  # ids after which a block is closed at the next document's end
 EVERY = 128  # ids between two checkpoints
-CACHED_PIECES = 600_000
+CACHED_PIECES = 1_000_000
+SLICE = 512  # documents whose pieces are held at once
 JOINED = 512  # unseen pieces encoded in one call
 
 # Texts with other white space than this, or with the special token, are encoded in one piece.
 PLAIN = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-ODD = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]|<\|endoftext\|>")
+ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\|endoftext\|>")
 RUNS = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
 
 
@@ -126,10 +127,10 @@ def encoder(path: str) -> Encoder:
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """(part, doc_id, start, n_tokens, ids): documents in ascending doc_id, cut into parts in that order.
 
-    `start` counts within the part. Rows without doc_id come first; rows with the same one are ordered
+    `start` counts within the part. The last row of a part has no tokens; it holds the part's `counts` of ids. Rows without doc_id come first; rows with the same one are ordered
     by a hash of their text, so that a very common id is cut as well.
     """
-    schema = "part int, doc_id bigint, start bigint, n_tokens bigint, ids binary"
+    schema = "part int, doc_id bigint, start bigint, n_tokens bigint, ids binary, counts binary"
     tie = F.xxhash64("text")
     ordered = (
         docs.select("doc_id", "text", tie.alias("tie"))
@@ -138,42 +139,47 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
         .select("doc_id", "text")
     )
 
+    def rows(part: int, docs: pa.Array, starts: np.ndarray, sizes: np.ndarray, ids: list, counts: list) -> pa.RecordBatch:
+        columns = [
+            pa.array(np.full(len(ids), part, np.int32)),
+            docs.cast(pa.int64()),
+            pa.array(starts, pa.int64()),
+            pa.array(sizes, pa.int64()),
+            pa.array(ids, pa.binary()),
+            pa.array(counts, pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "start", "n_tokens", "ids", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, at = encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], coder.kind).tobytes()
-        for batch in batches:
+        end, counts = np.array([END_ID], coder.kind).tobytes(), np.zeros(coder.size, np.int64)
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             ids = [e + end for e in coder.encode(batch.column("text").to_pylist())]
             sizes = np.array([len(i) for i in ids], np.int64) // coder.kind.itemsize
             stops = at + np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(ids), part, np.int32)),
-                    batch.column("doc_id").cast(pa.int64()),
-                    pa.array(stops - sizes),
-                    pa.array(sizes),
-                    pa.array(ids, pa.binary()),
-                ],
-                names=["part", "doc_id", "start", "n_tokens", "ids"],
-            )
-            at = int(stops[-1]) if len(stops) else at
+            counts += np.bincount(np.frombuffer(b"".join(ids), coder.kind), minlength=coder.size)
+            yield rows(part, batch.column("doc_id"), stops - sizes, sizes, ids, [None] * len(ids))
+            at = int(stops[-1])
+        yield rows(part, pa.nulls(1, pa.int64()), np.array([at]), np.array([0]), [b""], [counts.tobytes()])
 
     return ordered.mapInArrow(run, schema)
 
 
-def id_counts(tokens: DataFrame, path: str) -> np.ndarray:
+def id_counts(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs in the whole table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, counts = encoder(path), None
+        total = None
         for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column("ids").to_pylist()), coder.kind)
-            found = np.bincount(flat, minlength=coder.size)
-            counts = found if counts is None else counts + found
-        if counts is not None:
-            ids = np.nonzero(counts)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], names=["id", "n"])
-
-    summed = tokens.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+            for counts in batch.column(0).to_pylist():
+                found = np.frombuffer(counts, np.int64)
+                total = found.copy() if total is None else total + found
+        if total is not None:
+            ids = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
+
+    held = tokens.where("counts IS NOT NULL").select("counts")
+    summed = held.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     rows = summed.toPandas()  # one row per id of the vocabulary at most
     counts = np.zeros(max(rows.id.max() + 1, END_ID + 1) if len(rows) else END_ID + 1, np.int64)
     counts[rows.id.to_numpy(np.int64)] = rows.n.to_numpy(np.int64)
@@ -229,13 +235,14 @@ def encode_ids(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple
     sizes = lengths[ids]
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    total = int(ends[-1]) if len(ids) else 0
-    shifted = codes[ids] << (24 - (starts & 7) - sizes)  # at most 7 + 16 bits from a byte's start on
-    at, n = starts >> 3, (total + 7) // 8 + 3
-    packed = np.zeros(n)
-    for k in range(3):
-        packed += np.bincount(at + k, (shifted >> (16 - 8 * k)) & 255, n)  # bits are disjoint: sums are unions
-    return packed[: (total + 7) // 8].astype(np.uint8).tobytes(), starts[::EVERY]
+    total = int(ends[-1])
+    word = starts >> 5
+    wide = codes[ids].astype(np.uint64) << (64 - (starts & 31) - sizes).astype(np.uint64)
+    first = np.concatenate(([0], np.nonzero(np.diff(word))[0] + 1))  # a code begins in every 32-bit word
+    packed = np.zeros(len(first) + 1, np.uint64)  # bits are disjoint: sums are unions
+    packed[:-1] += np.add.reduceat(wide >> np.uint64(32), first)
+    packed[1:] += np.add.reduceat(wide & np.uint64(0xFFFFFFFF), first)
+    return packed.astype(">u4").tobytes()[: (total + 7) // 8], starts[::EVERY]
 
 
 def decoding_table(lengths: np.ndarray) -> np.ndarray:
@@ -308,8 +315,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     work = f"{shared_dir(spark).rstrip('/')}/emporia/{uuid.uuid4().hex}"
     tokenized(docs, path).write.option("compression", "zstd").parquet(work)
     tokens = spark.read.parquet(work)
-    lengths = code_lengths(id_counts(tokens, path))
-    blocks_of(tokens, lengths, path).write.option("compression", "none").parquet(f"{folder}/blocks")
+    lengths = code_lengths(id_counts(tokens))
+    texts = tokens.where("counts IS NULL").drop("counts")
+    blocks_of(texts, lengths, path).write.option("compression", "none").parquet(f"{folder}/blocks")
     ends = tokens.groupBy("part").agg(F.max(F.col("start") + F.col("n_tokens")).alias("n_ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     offsets = ends.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("offset"))
