@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 4
+STRETCH = 256  # characters of a text whose places are looked at together
 
 
 def plain_words(text: Column) -> Column:
@@ -23,63 +24,61 @@ def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str)
     """Every (text row, needle row) where the text contains the needle, by equality joins.
 
     Needles, which must be distinct, are indexed by their first four characters (all of them when
-    shorter) with the lengths that occur. A place in a text whose characters are in the index gives
-    one piece per such length, and pieces are looked up among the needles. So only true matches
-    are ever paired, also when very many needles or texts share a beginning.
+    shorter) with the lengths that occur. Texts are cut into stretches that overlap by the longest
+    needle, and each place of a stretch gives a window of that length: what is moved grows with the text,
+    not with its square. A window whose first characters are in the index gives one piece per length,
+    and distinct pieces of a text are looked up among the needles. So only true matches are ever
+    paired, also when very many needles or texts share a beginning. Empty needles match nothing.
     """
     keyed = needles.where(F.length(needle) > 0).select(
         F.substring(needle, 1, GRAM).alias("_key"), F.length(needle).alias("_length")
     )
     index = keyed.groupBy("_key").agg(F.sort_array(F.collect_set("_length")).alias("_lengths"))
     sizes = index.agg(F.collect_set(F.length("_key"))).scalar()  # at most four numbers
-    places = (
-        texts.where(F.length(text) > 0)
-        .withColumn("_size", sizes)
-        .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(text))))
-        .withColumn("_size", F.explode("_size"))
-        .withColumn("_key", F.substring(F.col(text), F.col("_at"), F.col("_size")))
+    longest = F.coalesce(keyed.agg(F.max("_length")).scalar(), F.lit(0))
+    whole = texts.where(F.length(text) > 0).select(F.xxhash64(text).alias("_id"), F.col(text).alias("_whole")).distinct()
+    starts = F.sequence(F.lit(1), F.length("_whole"), F.lit(STRETCH))
+    pieces = F.transform(starts, lambda s: F.substring(F.col("_whole"), s, F.lit(STRETCH) + F.col("_longest")))
+    stretches = whole.withColumn("_longest", longest).select("_id", "_longest", F.explode(pieces).alias("_part"))
+    at = F.sequence(F.lit(1), F.least(F.length("_part"), F.lit(STRETCH)))
+    windows = F.transform(at, lambda i: F.substring(F.col("_part"), i, F.col("_longest")))
+    found = (
+        stretches.select("_id", F.explode(windows).alias("_window"))
+        .distinct()
+        .withColumn("_size", F.explode(sizes))
+        .withColumn("_key", F.substring(F.col("_window"), F.lit(1), F.col("_size")))
         .where(F.length("_key") == F.col("_size"))
-    )
-    pieces = (
-        places.join(index, "_key")
+        .join(index, "_key")
         .withColumn("_length", F.explode("_lengths"))
-        .withColumn(needle, F.substring(F.col(text), F.col("_at"), F.col("_length")))
-        # A piece counts once per text, at its first place.
-        .where(F.call_function("instr", F.col(text), F.col(needle)) == F.col("_at"))
+        .withColumn(needle, F.substring(F.col("_window"), F.lit(1), F.col("_length")))
         .where(F.length(needle) == F.col("_length"))
-        .drop("_key", "_size", "_at", "_lengths", "_length")
+        .select("_id", needle)
+        .distinct()
+        .join(needles, needle)
     )
-    return pieces.join(needles, needle)
+    held = F.contains(F.col(text), F.col(needle))  # for texts that share a hash
+    return texts.withColumn("_id", F.xxhash64(text)).join(found, "_id").where(held).drop("_id")
 
 
 def contained_names(
-    texts: DataFrame,
-    keys: list[str],
-    text: str,
-    names: DataFrame,
-    name: str,
-    into: str,
-    bound: int = 2000,
+    texts: DataFrame, keys: list[str], text: str, names: DataFrame, name: str, into: str
 ) -> DataFrame:
     """Add `into`: the sorted names whose lower-case form occurs in the lower-case `text`.
 
-    A list of at most `bound` names (counted first) travels with the plan as one array value and
-    costs no shuffle; a longer one goes through `contains_join`. `keys` identify a text row.
+    Distinct texts meet the names through `contains_join`, so `keys` need not be unique; an empty name
+    is contained in nothing.
     """
     distinct = names.select(F.col(name).alias("_name")).where("_name IS NOT NULL").distinct()
-    empty = F.array().cast("array<string>")
-    if distinct.limit(bound + 1).count() <= bound:
-        all_names = distinct.agg(F.array_sort(F.collect_list("_name"))).scalar()
-        return texts.withColumn("_names", all_names).withColumn(
-            into,
-            F.coalesce(
-                F.filter("_names", lambda n: F.contains(F.lower(F.col(text)), F.lower(n))), empty
-            ),
-        ).drop("_names")
-    lowered = texts.select(*keys, F.lower(F.col(text)).alias("_text"))
+    lows = distinct.groupBy(F.lower("_name").alias("_low")).agg(F.collect_set("_name").alias("_names"))
+    lowered = texts.select(F.lower(F.col(text)).alias("_text")).where("_text IS NOT NULL").distinct()
     found = (
-        contains_join(lowered, "_text", distinct.withColumn("_low", F.lower("_name")), "_low")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set("_name")).alias(into))
+        contains_join(lowered, "_text", lows, "_low")
+        .groupBy("_text")
+        .agg(F.array_sort(F.flatten(F.collect_list("_names"))).alias(into))
+    )
+    empty = F.array().cast("array<string>")
+    return (
+        texts.join(found, F.lower(F.col(text)) == F.col("_text"), "left")
+        .withColumn(into, F.coalesce(F.col(into), empty))
+        .drop("_text")
     )
-    return texts.join(found, keys, "left").withColumn(into, F.coalesce(F.col(into), empty))

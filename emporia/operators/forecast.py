@@ -152,6 +152,18 @@ def seasonal_holdout(series: DataFrame) -> DataFrame:
     )
 
 
+def with_scale(series: DataFrame) -> DataFrame:
+    """Add `scale`: the mean of the series' first four fifths, which training may know; 1 if not positive."""
+    mean = F.avg(F.when(F.col("is_train"), F.col("y"))).over(whole_series())
+    return chrono_split(series).withColumn("scale", F.when(mean > 0, mean).otherwise(1.0)).drop("is_train")
+
+
+def long_enough(series: DataFrame) -> bool:
+    """True if a series has enough months to train on: MIN_LAGGED_ROWS with three before them."""
+    lagged = calendar_lag_features(series).groupBy("series_key").count()
+    return not lagged.where(F.col("count") >= MIN_LAGGED_ROWS).isEmpty()
+
+
 def train_boosted(
     series: DataFrame,
     rounds: int = ROUNDS,
@@ -162,13 +174,12 @@ def train_boosted(
 ) -> Boosted:
     """One boosted-tree model over the training months of all series that are long enough.
 
-    Values are divided by the mean of the series' training months, so that series of different
-    size share a model. Metrics are on the last fifth, per series and in its own unit.
+    Values are divided by the scale of their series, so that series of different size share a model.
+    Metrics are on the last fifth, per series and in its own unit. It raises without a series that
+    is long enough; see `long_enough`.
     """
-    lagged = calendar_lag_features(series).withColumn("_n", F.count("*").over(whole_series()))
-    split = chrono_split(lagged.where(F.col("_n") >= MIN_LAGGED_ROWS).drop("_n"))
-    scale = F.avg(F.when(F.col("is_train"), F.col("y"))).over(whole_series())
-    scaled = split.withColumn("scale", F.when(scale > 0, scale).otherwise(1.0))
+    lagged = calendar_lag_features(with_scale(series)).withColumn("_n", F.count("*").over(whole_series()))
+    scaled = chrono_split(lagged.where(F.col("_n") >= MIN_LAGGED_ROWS).drop("_n"))
     relative = {c: F.col(c) / F.col("scale") for c in LAGS}
     rows = work_table(
         scaled.withColumns(relative).withColumn("label", F.col("y") / F.col("scale"))
@@ -193,13 +204,13 @@ def forecast_recursive(series: DataFrame, model: PipelineModel, periods: int = 3
     A series is one row that gains one column per step, so there is no join and no growing
     lineage; missing lags of a short series are 0.
     """
-    size = F.avg("y")
     state = (
-        series.withColumn("_back", F.row_number().over(W.partitionBy("series_key").orderBy(F.desc("ds"))))
+        with_scale(series)
+        .withColumn("_back", F.row_number().over(W.partitionBy("series_key").orderBy(F.desc("ds"))))
         .groupBy("series_key")
         .agg(
             F.max("ds").alias("last_ds"),
-            F.when(size > 0, size).otherwise(1.0).alias("scale"),
+            F.first("scale").alias("scale"),
             *[
                 F.coalesce(F.max(F.when(F.col("_back") == k, F.col("y"))), F.lit(0.0)).alias(f"lag{k}")
                 for k in (1, 2, 3)
@@ -227,9 +238,8 @@ def forecast_recursive(series: DataFrame, model: PipelineModel, periods: int = 3
 
 
 def forecast_total(fact: DataFrame, periods: int = 6, **settings) -> DataFrame:
-    """Forecast of the whole business."""
-    series = work_table(monthly_series(fact))
-    return forecast_recursive(series, train_boosted(series, **settings).model, periods)
+    """(series_key, ds, yhat, error): forecast of the whole business, or one row with only `error`."""
+    return _trained_forecast(work_table(monthly_series(fact)), periods, settings)
 
 
 def forecast_product(
@@ -240,14 +250,18 @@ def forecast_product(
     (ds, yhat, error): one row with only `error` when nothing matches or there are too few months.
     """
     series = work_table(monthly_series(filter_product(fact, name, exact)))
-    months = series.count()
-    if months < MIN_MONTHS:
-        reason = "product not found" if months == 0 else "not enough data"
-        return fact.sparkSession.range(1).select(
-            F.lit(None).cast("date").alias("ds"), F.lit(None).cast("double").alias("yhat"), F.lit(reason).alias("error")
+    return _trained_forecast(series, periods, settings, "product not found").drop("series_key")
+
+
+def _trained_forecast(series: DataFrame, periods: int, settings: dict, absent: str = "not enough data") -> DataFrame:
+    if not long_enough(series):
+        reason = absent if series.isEmpty() else "not enough data"
+        return series.sparkSession.sql(
+            "SELECT CAST(NULL AS STRING) AS series_key, CAST(NULL AS DATE) AS ds, CAST(NULL AS DOUBLE) AS yhat, "
+            f"'{reason}' AS error"
         )
     model = train_boosted(series, **settings).model
-    return forecast_recursive(series, model, periods).select("ds", "yhat", F.lit(None).cast("string").alias("error"))
+    return forecast_recursive(series, model, periods).withColumn("error", F.lit(None).cast("string"))
 
 
 def demand_level(forecast: DataFrame) -> DataFrame:

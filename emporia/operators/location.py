@@ -30,6 +30,7 @@ EXCELLENT_R2, EXCELLENT_MAPE, GOOD_R2, GOOD_MAPE, FAIR_R2 = 0.85, 20, 0.70, 35,
 FEATURES = ["category_code", "region_code", "region_mean", "category_mean"]
 # A request is identified by all its parts.
 REQUEST = ["category", "brand", "product_name"]
+DEFAULT_TOP = 5  # regions, for a request without a number
 
 
 class LocationModel(NamedTuple):
@@ -245,10 +246,10 @@ def filter_region_stats(detail: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def clean_requests(requests: DataFrame, categories: DataFrame) -> DataFrame:
-    """Distinct requests with trimmed texts and the category resolved."""
+    """Distinct requests with trimmed texts, the default number of regions and the category resolved."""
     blank = F.lit("")
     texts = {c: F.coalesce(F.trim(c), blank) for c in ("brand", "product_name")}
-    asked = requests.select(*REQUEST, "top_n").withColumns(texts)
+    asked = requests.select(*REQUEST, F.coalesce("top_n", F.lit(DEFAULT_TOP)).alias("top_n")).withColumns(texts)
     asked = asked.withColumn("category", F.coalesce("category", blank)).distinct()
     resolved = resolve_category(
         asked.select(F.col("category").alias("query")), categories

@@ -35,6 +35,9 @@ CATEGORY_WORDS = ["catégorie", "type de produit", "famille", "categories"]
 INSIGHT_WORDS = ["insight", "analyse globale", "résumé", "dashboard"]
 DEFAULT_TOP, FOLLOW_UP_TOP = 5, 3
 
+# What came of a question.
+FOUND, NO_PRODUCT, NO_PAIR, TWO_NAMES = "found", "no product", "no pair", "two products needed"
+
 KEYS = ["conv_id", "turn"]
 ALL = ""  # a slice without restriction
 
@@ -124,7 +127,9 @@ def route_questions(filtered: DataFrame, slices: DataFrame) -> DataFrame:
     )
     occurring = slices.select("category", "delegation").distinct().withColumn("_occurs", F.lit(True))
     base = filtered.withColumn("_base", without_context).join(occurring, ["category", "delegation"], "left")
-    answered = (F.col("_base") == "top_products") & (F.col("category").isNull() | F.col("_occurs"))
+    answered = (
+        (F.col("_base") == "top_products") & (F.col("top_n") > 0) & (F.col("category").isNull() | F.col("_occurs"))
+    )
     asks_back = follow_up & (n_regions == 1)
     could_set = base.withColumn("_could", F.when(answered, F.col("delegation")))
     with_first = carry_last(could_set, "conv_id", "turn", "_could", "_context")
@@ -141,7 +146,10 @@ def route_questions(filtered: DataFrame, slices: DataFrame) -> DataFrame:
 
 
 def answer_top_products(routed: DataFrame, fact: DataFrame) -> DataFrame:
-    """(conv_id, turn, rank, product_name, row_count): each question's top n in its slice.
+    """(conv_id, turn, rank, product_name, row_count, status): each question's top n in its slice.
+
+    A question about a single product gets one at most. A question without any gets a row whose
+    status is `NO_PRODUCT`; the status of products is `FOUND`.
 
     Counts per category, delegation and product are rolled up to every slice once, ranked once,
     and trimmed to the largest n asked for before questions look them up.
@@ -150,7 +158,7 @@ def answer_top_products(routed: DataFrame, fact: DataFrame) -> DataFrame:
         *KEYS,
         F.coalesce("category", F.lit(ALL)).alias("in_category"),
         F.coalesce("delegation", F.lit(ALL)).alias("in_delegation"),
-        "top_n",
+        F.when(F.col("single_product"), F.least("top_n", F.lit(1))).otherwise(F.col("top_n")).alias("top_n"),
     )
     largest = asked.agg(F.max("top_n")).first()[0] or 0
     places = ["category", "delegation"]
@@ -173,11 +181,18 @@ def answer_top_products(routed: DataFrame, fact: DataFrame) -> DataFrame:
     )
     order = [F.desc("row_count"), F.col("product_name")]
     ranked = work_table(ranked_within(counts, ["in_category", "in_delegation"], order, largest))
-    return (
+    listed = (
         asked.join(ranked, ["in_category", "in_delegation"])
         .where(F.col("rank") <= F.col("top_n"))
         .select(*KEYS, "rank", "product_name", "row_count")
     )
+    return with_status(asked, listed, FOUND, NO_PRODUCT)
+
+
+def with_status(asked: DataFrame, listed: DataFrame, found: str, none: str) -> DataFrame:
+    """The listed answers, and a row for every question without one."""
+    rows = listed.withColumn("_found", F.lit(found))
+    return asked.select(*KEYS).join(rows, KEYS, "left").withColumn("status", F.coalesce("_found", F.lit(none))).drop("_found")
 
 
 def sliced_pairs(fact: DataFrame, slices: DataFrame, n: int) -> DataFrame:
@@ -206,8 +221,9 @@ def answer_pairs(routed: DataFrame, fact: DataFrame) -> DataFrame:
     """Answers to basket questions: the association of the first two quoted names, or else the
     most frequent pairs of the question's slice.
 
-    (conv_id, turn, rank, product_1, product_2, frequency, confidence, tier); the last two are
-    null for frequent pairs.
+    (conv_id, turn, rank, product_1, product_2, frequency, confidence, tier, status); confidence and
+    tier are null for frequent pairs. Every question has a row: without pairs its status is
+    `NO_PAIR`, with a blank name among the first two `TWO_NAMES`.
     """
     asked = routed.where("intent = 'basket'").select(
         *KEYS, "products", "top_n",
@@ -224,11 +240,14 @@ def answer_pairs(routed: DataFrame, fact: DataFrame) -> DataFrame:
             "product_1", "product_2", "matched_1", "matched_2", "frequency", "confidence", "tier"
         )
     )
+    blank = with_status(
+        asked.where(F.size("products") >= 2).join(named, KEYS, "left_anti"), named.limit(0).select(*KEYS), FOUND, TWO_NAMES
+    )
     about_names = named.join(analyzed, ["product_1", "product_2"]).select(
         *KEYS, F.lit(1).alias("rank"),
         F.coalesce("matched_1", "product_1").alias("product_1"),
         F.coalesce("matched_2", "product_2").alias("product_2"),
-        "frequency", "confidence", "tier",
+        "frequency", "confidence", "tier", F.lit(FOUND).alias("status"),
     )
     open_questions = asked.where(F.size("products") < 2)
     largest = open_questions.agg(F.max("top_n")).first()[0] or 0
@@ -241,7 +260,8 @@ def answer_pairs(routed: DataFrame, fact: DataFrame) -> DataFrame:
             F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("tier"),
         )
     )
-    return about_names.unionByName(about_slices)
+    answered = with_status(open_questions, about_slices, FOUND, NO_PAIR)
+    return about_names.unionByName(answered).unionByName(blank, allowMissingColumns=True)
 
 
 def answer_comparisons(routed: DataFrame, fact: DataFrame) -> DataFrame:

@@ -43,15 +43,19 @@ def baskets_by_date(fact: DataFrame) -> DataFrame:
 
 
 def cap_matrix(
-    matrix: DataFrame, key: str, baskets: int = MATRIX_BASKETS, items: int = MATRIX_ITEMS
+    matrix: DataFrame, key: str, baskets: int | None = None, items: int | None = None
 ) -> DataFrame:
-    """The corner of the basket × item matrix: first baskets and first items in text order."""
-    first_baskets = matrix.select(key).distinct().orderBy(F.col(key).cast("string")).limit(baskets)
-    first_items = matrix.select("item").distinct().orderBy("item").limit(items)
-    # Both lists are bounded by their limit.
-    return matrix.join(F.broadcast(first_baskets), key, "left_semi").join(
-        F.broadcast(first_items), "item", "left_semi"
-    )
+    """The corner of the basket × item matrix: first baskets and first items in text order.
+
+    Without numbers the whole matrix stays.
+    """
+    if baskets is not None:
+        first = matrix.select(key).distinct().orderBy(F.col(key).cast("string")).limit(baskets)
+        matrix = matrix.join(first, key, "left_semi")
+    if items is not None:
+        first = matrix.select("item").distinct().orderBy("item").limit(items)
+        matrix = matrix.join(first, "item", "left_semi")
+    return matrix
 
 
 def frequent_itemsets(
@@ -65,8 +69,8 @@ def frequent_itemsets(
     `matrix` has the basket keys, `item` and, if returns matter, `present`. Equal baskets fold into
     one weighted set before anything is counted. Infrequent items go first; then itemsets grow one
     item at a time: a set keeps the items after its last one, equal rests fold together, and only
-    frequent sets grow. Each level is a stored table, and the loop ends at the first level without
-    one.
+    frequent sets grow. What is stored per level is pruned to the frequent sets, and the loop ends at
+    the first level without one.
     """
     keys = keys or BASKET_KEYS
     item = F.when(F.col("present"), F.col("item")) if "present" in matrix.columns else F.col("item")
@@ -106,14 +110,13 @@ def frequent_itemsets(
             .groupBy("items", "rest", "n")
             .agg(F.sum("w").alias("w"))
         )
-        grown = work_table(grown)
         level = work_table(
             grown.groupBy("items", "n").agg(F.sum("w").alias("count")).where(F.col("count") >= needed)
         )
         found = level if found is None else found.unionByName(level)
         if level.isEmpty():
             break
-        state = grown.where(F.size("rest") > 0).join(level.select("items"), "items", "left_semi")
+        state = work_table(grown.where(F.size("rest") > 0).join(level.select("items"), "items", "left_semi"))
     return found.select("items", "count", "n", (F.col("count") / F.col("n")).alias("support"))
 
 
@@ -134,10 +137,13 @@ def association_rules(itemsets: DataFrame, min_lift: float = MIN_LIFT) -> DataFr
     """Every split of an itemset into antecedent and consequent with lift of at least `min_lift`.
 
     Consequents may hold several items, which Spark's own rules do not offer. A split is a bit
-    mask over the sorted items, so both sides stay sorted and find their supports by equality.
+    mask over the sorted items, so both sides stay sorted and find their supports by equality. An
+    itemset has 2^size - 2 splits; one of more than 30 items, which has over a billion, is refused.
     """
     sets = itemsets.where(F.size("items") >= 2)
-    masks = F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.size("items")) - 2).cast("int"))
+    masks = F.when(
+        F.size("items") <= 30, F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.size("items")) - 2).cast("int"))
+    ).otherwise(F.raise_error(F.lit("an itemset of more than 30 items has too many rules; raise the support")))
     split = sets.withColumn("mask", F.explode(masks)).select(
         F.expr("filter(items, (v, i) -> (shiftright(mask, i) & 1) = 1)").alias("antecedents"),
         F.expr("filter(items, (v, i) -> (shiftright(mask, i) & 1) = 0)").alias("consequents"),

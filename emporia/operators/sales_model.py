@@ -70,8 +70,12 @@ def encoder_stages(numbers: list[str]) -> list:
     ]
 
 
-def regressor(kind: str, trees: int, rounds: int, seed: int):
-    """The learner by name; any other name gives a default forest."""
+def regressor(kind: str, trees: int, rounds: int, seed: int, rows: float = 1, spread: float = 1.0):
+    """The learner by name; any other name gives a default forest.
+
+    Ridge adds α · |w|² to the sum of squared errors of `rows` rows. Spark averages and halves
+    the errors of a label that it divides by its `spread`, hence the factor.
+    """
     common = {"featuresCol": "features", "labelCol": "revenue"}
     if kind == "RandomForest":
         return RandomForestRegressor(
@@ -81,10 +85,18 @@ def regressor(kind: str, trees: int, rounds: int, seed: int):
     if kind == "GradientBoosting":
         return GBTRegressor(maxIter=rounds, stepSize=BOOST_RATE, maxDepth=BOOST_DEPTH, seed=seed, **common)
     if kind == "Ridge":
-        return LinearRegression(elasticNetParam=0.0, regParam=RIDGE_ALPHA, **common)
+        return LinearRegression(
+            elasticNetParam=0.0, regParam=RIDGE_ALPHA * spread / max(rows, 1), standardization=False, **common
+        )
     return RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", seed=seed, **common)
 
 
+def size_and_spread(rows: DataFrame) -> tuple[int, float]:
+    """Number of rows and deviation of their revenue."""
+    n, spread = rows.agg(F.count("*"), F.stddev_pop("revenue")).first()
+    return n, spread or 1.0
+
+
 def regression_metrics(
     scored: DataFrame, actual: str = "revenue", predicted: str = "prediction", keys: list[str] | None = None
 ) -> DataFrame:
@@ -130,7 +142,7 @@ def train_sales_model(
     numbers = [c for c in ("month", "day_of_week") if c in features.columns]
     part = F.when(in_training([*PLACE, *numbers], seed), "train").otherwise("test")
     rows = work_table(features.select(*PLACE, *numbers, "revenue").withColumn("part", part))
-    stages = [*encoder_stages(numbers), regressor(kind, trees, rounds, seed)]
+    stages = [*encoder_stages(numbers), regressor(kind, trees, rounds, seed, *size_and_spread(rows.where("part = 'train'")))]
     model = Pipeline(stages=stages).fit(rows.where("part = 'train'"))
     scored = model.transform(rows)
     metrics = regression_metrics(scored, keys=["part"])
@@ -160,7 +172,9 @@ def cross_validate(
     numbers = [c for c in ("month", "day_of_week") if c in features.columns]
     fold = bucket([*PLACE, *numbers], seed, folds)
     rows = work_table(features.select(*PLACE, *numbers, "revenue").withColumn("fold", fold))
-    pipeline = Pipeline(stages=[*encoder_stages(numbers), regressor(kind, trees, rounds, seed)])
+    n, spread = size_and_spread(rows)  # a fold leaves (folds - 1) / folds of the rows to train on
+    learner = regressor(kind, trees, rounds, seed, n * (folds - 1) / folds, spread)
+    pipeline = Pipeline(stages=[*encoder_stages(numbers), learner])
     validator = CrossValidator(
         estimator=pipeline,
         estimatorParamMaps=ParamGridBuilder().build(),
@@ -177,9 +191,9 @@ def predict_sales(requests: DataFrame, model: PipelineModel) -> DataFrame:
     """Predicted revenue for (category, delegation, locality, month) requests.
 
     A request without month gives the sum of twelve monthly predictions and their list; a request
-    without place means the default place. One row per distinct request.
+    without place, null or empty, means the default place. One row per distinct request.
     """
-    asked = requests.select(*PLACE, "month").distinct()
+    asked = requests.select(*PLACE, "month").replace("", None, subset=["delegation", "locality"])
     filled = asked.fillna(DEFAULT_PLACE, subset=["delegation", "locality"]).distinct()
     monthly = filled.withColumnRenamed("month", "asked_month").withColumn(
         "month", F.explode(F.when(F.col("asked_month").isNull(), F.sequence(F.lit(1), F.lit(12))).otherwise(F.array("asked_month")))

@@ -256,7 +256,8 @@ def q_baskets_by_date(spark, folder):
 )
 def q_cap_matrix(spark, folder):
     fact = sales(spark, folder, "client_id", "product_name", "quantity")
-    return rules.cap_matrix(rules.presence(fact, ["client_id"]), "client_id")
+    whole = rules.presence(fact, ["client_id"])
+    return rules.cap_matrix(whole, "client_id", rules.MATRIX_BASKETS, rules.MATRIX_ITEMS)
 
 
 # Itemsets over categories by bit masks, any length.
@@ -324,27 +325,25 @@ def q_association_rules(spark, folder):
     return tidy(texts(rules.association_rules(itemsets), "antecedents", "consequents"), 6)
 
 
-def name_sets(keys: str, min_support: str) -> str:
-    """Itemsets of names to length 3 by joins."""
-    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
-    on_c = on.replace("a.", "c.")
+def item_sets(keys: str, min_support: str, item: str = "product_name") -> str:
+    """Itemsets of any length: per basket, sets grow by later items as long as they are frequent."""
+    on = " AND ".join(f"l.{k} = k.{k}" for k in keys.split(", "))
+    own = ", ".join(f"k.{k}" for k in keys.split(", "))
     return f"""held AS (
-      SELECT {keys}, product_name AS item FROM sales GROUP BY ALL HAVING sum(quantity) > 0
+      SELECT {keys}, {item} AS item FROM sales GROUP BY ALL HAVING sum(quantity) > 0
     ), total AS (
       SELECT count(*) AS n FROM (SELECT DISTINCT {keys} FROM sales)
-    ), f1 AS (
-      SELECT item AS i1, count(*) AS c FROM held GROUP BY 1 HAVING count(*) >= {min_support} * (SELECT n FROM total)
     ), kept AS (
-      SELECT * FROM held WHERE item IN (SELECT i1 FROM f1)
-    ), f2 AS (
-      SELECT a.item AS i1, b.item AS i2, count(*) AS c FROM kept a JOIN kept b ON {on} AND a.item < b.item
-      GROUP BY 1, 2 HAVING count(*) >= {min_support} * (SELECT n FROM total)
-    ), f3 AS (
-      SELECT a.item AS i1, b.item AS i2, c.item AS i3, count(*) AS c
-      FROM kept a JOIN kept b ON {on} AND a.item < b.item JOIN kept c ON {on_c} AND b.item < c.item
-      GROUP BY 1, 2, 3 HAVING count(*) >= {min_support} * (SELECT n FROM total)
+      SELECT * FROM held WHERE item IN (
+        SELECT item FROM held GROUP BY 1 HAVING count(*) >= {min_support} * (SELECT n FROM total))
+    ), lattice AS (
+      SELECT [item] AS items, {keys} FROM kept
+      UNION ALL
+      SELECT * FROM (
+        SELECT list_append(l.items, k.item) AS items, {own} FROM lattice l JOIN kept k ON {on} AND k.item > l.items[-1]
+      ) QUALIFY count(*) OVER (PARTITION BY items) >= {min_support} * (SELECT n FROM total)
     ), itemsets AS (
-      SELECT [i1] AS items, c FROM f1 UNION ALL SELECT [i1, i2], c FROM f2 UNION ALL SELECT [i1, i2, i3], c FROM f3
+      SELECT items, count(*) AS c FROM lattice GROUP BY 1
     )"""
 
 
@@ -354,13 +353,13 @@ def name_matrix(spark, folder, keys):
 
 @register(
     "frequent_itemsets_names",
-    f"""WITH {SALES}, {name_sets('client_id, purchase_date', '0.002')}
+    f"""WITH RECURSIVE {SALES}, {item_sets('client_id, purchase_date', '0.002')}
     SELECT array_to_string(items, '|') AS items, c AS count, n, {r('c / n', 6)} AS support
     FROM itemsets CROSS JOIN total""",
 )
 def q_frequent_itemsets_names(spark, folder):
     matrix = name_matrix(spark, folder, BASKET_KEYS)
-    itemsets = rules.frequent_itemsets(matrix, min_support=0.002, max_len=3)
+    itemsets = rules.frequent_itemsets(matrix, min_support=0.002)
     return tidy(texts(itemsets, "items"), 6)
 
 
@@ -377,27 +376,26 @@ RULE_SPLITS = """splits AS (
 
 @register(
     "association_rules_names",
-    f"""WITH {SALES}, {name_sets('client_id, purchase_date', '0.002')}, {RULE_SPLITS}
+    f"""WITH RECURSIVE {SALES}, {item_sets('client_id, purchase_date', '0.002')}, {RULE_SPLITS}
     SELECT array_to_string(antecedents, '|') AS antecedents, array_to_string(consequents, '|') AS consequents,
       {metrics_sql('joint', 'ca', 'cb')} FROM rules""",
 )
 def q_association_rules_names(spark, folder):
     matrix = name_matrix(spark, folder, BASKET_KEYS)
-    itemsets = rules.frequent_itemsets(matrix, min_support=0.002, max_len=3)
+    itemsets = rules.frequent_itemsets(matrix, min_support=0.002)
     return tidy(texts(rules.association_rules(itemsets), "antecedents", "consequents"), 6)
 
 
 @register(
     "bundles",
-    f"""WITH {SALES}, {name_sets('purchase_date', '0.02').replace('itemsets AS (', 'all_sets AS (')},
-    itemsets AS (SELECT * FROM all_sets WHERE len(items) <= 2), {RULE_SPLITS}
+    f"""WITH RECURSIVE {SALES}, {item_sets('purchase_date', '0.02', 'category')}, {RULE_SPLITS}
     SELECT array_to_string(antecedents, '|') AS items, array_to_string(consequents, '|') AS recommended,
       {r('joint / ca', 6)} AS confidence, {r('CAST(joint AS DOUBLE) * n / (CAST(ca AS DOUBLE) * cb)', 6)} AS lift
     FROM rules ORDER BY CAST(joint AS DOUBLE) * n / (CAST(ca AS DOUBLE) * cb) DESC, joint / n DESC, antecedents, consequents
     LIMIT 10""",
 )
 def q_bundles(spark, folder):
-    """Pairs only: a day's baskets hold nearly every name, so longer itemsets run into billions."""
-    matrix = name_matrix(spark, folder, ["purchase_date"])
-    itemsets = rules.frequent_itemsets(matrix, ["purchase_date"], max_len=2)
+    """Categories sold on one day, any length."""
+    fact = sales(spark, folder, "purchase_date", "category", "quantity")
+    itemsets = rules.frequent_itemsets(rules.presence(fact, ["purchase_date"], "category"), ["purchase_date"])
     return tidy(texts(rules.bundles(rules.association_rules(itemsets)), "items", "recommended"), 6)

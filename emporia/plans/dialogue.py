@@ -14,6 +14,7 @@ DIMENSIONS = ["category", "delegation"]
 
 def questions(spark, folder):
     """Every user turn, with a business question about a part and regions added to its text."""
+    last = table(spark, folder, "part").agg(F.count("*") - 1).scalar()
     part = table(spark, folder, "part").select(
         F.col("p_partkey").alias("pick"), F.col("p_name").alias("name"), F.col("p_type").alias("kind")
     )
@@ -40,7 +41,7 @@ def questions(spark, folder):
         added = F.when(form == number, F.concat(*parts)).otherwise(added)
     turns = table(spark, folder, "conversations").where("role = 'user'")
     return (
-        turns.withColumn("pick", F.col("conv_id") % 190)
+        turns.withColumn("pick", F.col("conv_id") % last)
         .withColumn("k1", F.col("conv_id") % 5)
         .withColumn("k2", (F.col("conv_id") + F.col("turn")) % 5)
         .join(part, "pick").join(partner, "pick").join(first, "k1").join(second, "k2")
@@ -58,7 +59,8 @@ QUESTIONS = """questions AS (
       WHEN 5 THEN 'Analyse "' || p.p_name || '" avec ''' || o.p_name || ''''
       WHEN 6 THEN 'Quelles sont les catégories ?'
       WHEN 7 THEN 'dashboard' WHEN 8 THEN '' WHEN 9 THEN t.r_name END AS text
-  FROM conversations c JOIN part p ON p.p_partkey = conv_id % 190 JOIN part o ON o.p_partkey = conv_id % 190 + 1
+  FROM conversations c JOIN part p ON p.p_partkey = conv_id % (SELECT count(*) - 1 FROM part)
+  JOIN part o ON o.p_partkey = p.p_partkey + 1
   JOIN region h ON h.r_regionkey = conv_id % 5 JOIN region t ON t.r_regionkey = (conv_id + turn) % 5
   WHERE role = 'user'
 )"""
@@ -118,7 +120,7 @@ ROUTED = f"""{FILTERED}, based AS (
       WHEN {INSIGHT} THEN 'insights' ELSE 'general' END AS base
   FROM named
 ), setting AS (
-  SELECT *, CASE WHEN base = 'top_products' AND (category IS NULL OR EXISTS (
+  SELECT *, CASE WHEN base = 'top_products' AND top_n > 0 AND (category IS NULL OR EXISTS (
       SELECT 1 FROM sales s WHERE s.category = based.category AND s.delegation = based.delegation)) THEN delegation END AS could
   FROM based
 ), contexts AS (
@@ -149,11 +151,15 @@ def q_route_questions(spark, folder):
 @register(
     "answer_top_products",
     f"""WITH {SALES}, {ROUTED}, asked AS (SELECT * FROM routed WHERE intent = 'top_products'), counts AS (
-      SELECT a.conv_id, a.turn, a.top_n, s.product_name, count(*) AS row_count FROM asked a
+      SELECT a.conv_id, a.turn, CASE WHEN a.single_product THEN least(a.top_n, 1) ELSE a.top_n END AS n,
+        s.product_name, count(*) AS row_count FROM asked a
       JOIN sales s ON (a.category IS NULL OR s.category = a.category) AND (a.delegation IS NULL OR s.delegation = a.delegation)
-      GROUP BY 1, 2, 3, 4)
+      GROUP BY 1, 2, 3, 4), listed AS (
     SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY row_count DESC, product_name)
-      AS INTEGER) AS rank, product_name, row_count FROM counts QUALIFY rank <= top_n""",
+      AS INTEGER) AS rank, product_name, row_count FROM counts QUALIFY rank <= n)
+    SELECT conv_id, turn, rank, product_name, row_count,
+      CASE WHEN rank IS NULL THEN 'no product' ELSE 'found' END AS status
+    FROM asked LEFT JOIN listed USING (conv_id, turn)""",
 )
 def q_answer_top_products(spark, folder):
     fact = sales(spark, folder, *DIMENSIONS, "product_name")
@@ -200,11 +206,12 @@ ASKED_PAIRS = ANALYZED[ANALYZED.index("), resolved AS ("):]
       FROM slice_items a JOIN slice_items b ON a.c IS NOT DISTINCT FROM b.c AND a.d IS NOT DISTINCT FROM b.d
         AND a.client_id = b.client_id AND a.purchase_date = b.purchase_date AND a.item < b.item GROUP BY 1, 2, 3, 4)
     SELECT conv_id, turn, 1 AS rank, coalesce(matched_1, product_1) AS product_1,
-      coalesce(matched_2, product_2) AS product_2, frequency, confidence, tier
+      coalesce(matched_2, product_2) AS product_2, frequency, confidence, tier, 'found' AS status
     FROM about JOIN tiered USING (product_1, product_2)
-    UNION ALL SELECT conv_id, turn, CAST(rank AS INTEGER), x, y, frequency, NULL, NULL
-    FROM slices JOIN slice_pairs ON c IS NOT DISTINCT FROM category AND d IS NOT DISTINCT FROM delegation
-    WHERE rank <= top_n""",
+    UNION ALL SELECT conv_id, turn, CAST(rank AS INTEGER), x, y, frequency, NULL, NULL,
+      CASE WHEN rank IS NULL THEN 'no pair' ELSE 'found' END
+    FROM slices LEFT JOIN slice_pairs
+      ON c IS NOT DISTINCT FROM category AND d IS NOT DISTINCT FROM delegation AND rank <= top_n""",
 )
 def q_answer_pairs(spark, folder):
     fact = sales(spark, folder, *DIMENSIONS, "client_id", "purchase_date", "product_name")

@@ -7,10 +7,6 @@ from emporia.plans.views import MONTHLY, SALES
 from emporia.sources.star import sales
 from emporia.sources.store import work_table
 
-# Rounds and rate of the boosted trees in the registered queries; the library defaults are 300 and
-# 0.05. Fewer, larger steps keep the repeated checks short.
-BOOST = {"rounds": 20, "rate": 0.2}
-
 
 def product_series(spark, folder, value="revenue"):
     return monthly_series(sales(spark, folder, "product_name", "purchase_date", value), "product_name", value)
@@ -135,21 +131,21 @@ def q_stock_advice(spark, folder):
 @register("forecast_boosted")
 def q_forecast_boosted(spark, folder):
     """Hold-out metrics of the boosted trees for every product."""
-    return forecast.train_boosted(product_series(spark, folder), **BOOST).metrics
+    return forecast.train_boosted(product_series(spark, folder)).metrics
 
 
 @register("forecast_recursive")
 def q_forecast_recursive(spark, folder):
     series = work_table(product_series(spark, folder))
-    return forecast.forecast_recursive(series, forecast.train_boosted(series, **BOOST).model, 3)
+    return forecast.forecast_recursive(series, forecast.train_boosted(series).model, 3)
 
 
 @register("forecast_total")
 def q_forecast_total(spark, folder):
-    return forecast.forecast_total(sales(spark, folder, "purchase_date", "revenue"), **BOOST)
+    return forecast.forecast_total(sales(spark, folder, "purchase_date", "revenue"))
 
 
 @register("forecast_product")
 def q_forecast_product(spark, folder):
     fact = sales(spark, folder, "product_name", "purchase_date", "revenue")
-    return forecast.forecast_product(fact, "gizmo", **BOOST)
+    return forecast.forecast_product(fact, "gizmo")

@@ -11,8 +11,6 @@ from emporia.sources.star import sales, table
 from emporia.sources.store import load_or_train, shared_dir, work_table
 
 PLACE_COLUMNS = ["category", "delegation", "locality", "purchase_date", "total_price"]
-# Trees and rounds of the registered model queries; the library defaults are the larger fixed values.
-FOREST, ROUNDS = 20, 10
 
 CELLS = """cells AS (
   SELECT category, delegation AS region, round(sum(total_price), 4) AS revenue FROM sales
@@ -58,16 +56,9 @@ def q_region_factor(spark, folder):
     return tidy(location.region_factor(work_table(cells(spark, folder))))
 
 
-def without_some_cells(df):
-    """Leave out the cells of one category in the regions up to 'ASIA', for the fallback."""
-    return df.where("NOT (category = 'PROMO' AND region <= 'ASIA')")
-
-
 @register(
     "predict_region_revenue",
-    f"""WITH {SALES}, {CELLS.replace('cells AS', 'every_cell AS', 1)}, cells AS (
-      SELECT * FROM every_cell WHERE NOT (category = 'PROMO' AND region <= 'ASIA')
-    ), {FACTORS}, asked AS (
+    f"""WITH {SALES}, {CELLS}, {FACTORS}, asked AS (
       SELECT DISTINCT unnest([p_type, p_brand]) AS category FROM part
     ), means AS (SELECT category, avg(revenue) AS category_mean FROM cells GROUP BY 1)
     SELECT a.category, f.region, {r('''CASE WHEN c.revenue IS NOT NULL THEN c.revenue
@@ -81,7 +72,7 @@ def q_predict_region_revenue(spark, folder):
     asked = table(spark, folder, "part").select(
         F.explode(F.array("p_type", "p_brand")).alias("category")
     )
-    known = work_table(without_some_cells(cells(spark, folder)))
+    known = work_table(cells(spark, folder))
     return tidy(location.predict_region_revenue(known, asked), 2)
 
 
@@ -241,12 +232,12 @@ def q_regression_metrics(spark, folder):
 
 @register("sales_model_v2")
 def q_sales_model_v2(spark, folder):
-    return sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS), FOREST).metrics
+    return sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS)).metrics
 
 
 @register("feature_importance")
 def q_feature_importance(spark, folder):
-    return sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS), FOREST).importance
+    return sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS)).importance
 
 
 @register("sales_model_select")
@@ -254,7 +245,7 @@ def q_sales_model_select(spark, folder):
     """Hold-out metrics of the three learners."""
     fact = v1_fact(spark, folder)
     tables = [
-        sales_model.sales_model_select(fact, kind, FOREST, ROUNDS).metrics.withColumn("kind", F.lit(kind))
+        sales_model.sales_model_select(fact, kind).metrics.withColumn("kind", F.lit(kind))
         for kind in ("RandomForest", "GradientBoosting", "Ridge")
     ]
     return tables[0].unionByName(tables[1]).unionByName(tables[2])
@@ -262,7 +253,12 @@ def q_sales_model_select(spark, folder):
 
 @register("cross_validate")
 def q_cross_validate(spark, folder):
-    return sales_model.cross_validate(sales_model.sales_features_v1(v1_fact(spark, folder)), "Ridge")
+    """Ridge and the default forest."""
+    rows = work_table(sales_model.sales_features_v1(v1_fact(spark, folder)))
+    ridge, forest = [
+        sales_model.cross_validate(rows, kind).withColumn("kind", F.lit(kind)) for kind in ("Ridge", "RandomForest")
+    ]
+    return ridge.unionByName(forest)
 
 
 def sales_requests(spark, folder):
@@ -277,13 +273,13 @@ def sales_requests(spark, folder):
 
 @register("predict_sales")
 def q_predict_sales(spark, folder):
-    model = sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS), FOREST).model
+    model = sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS)).model
     return sales_model.predict_sales(sales_requests(spark, folder), model).drop("by_month")
 
 
 @register("total_prediction")
 def q_total_prediction(spark, folder):
-    model = sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS), FOREST).model
+    model = sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS)).model
     return sales_model.total_prediction(sales_model.predict_sales(sales_requests(spark, folder), model))
 
 
@@ -293,7 +289,7 @@ def q_save_and_load_model(spark, folder):
     path = f"{shared_dir(spark).rstrip('/')}/emporia/model-{uuid.uuid4().hex}"
 
     def train():
-        made = sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS), FOREST)
+        made = sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS))
         return made.model, made.metrics
 
     load_or_train(spark, path, train)
@@ -306,13 +302,13 @@ def features(spark, folder):
 
 @register("high_value_classifier")
 def q_high_value_classifier(spark, folder):
-    return customers.high_value_classifier(features(spark, folder), FOREST).metrics
+    return customers.high_value_classifier(features(spark, folder)).metrics
 
 
 @register("predict_high_value")
 def q_predict_high_value(spark, folder):
     """Requests made from every order: its price and, for some, no quantity."""
-    made = customers.high_value_classifier(features(spark, folder), FOREST)
+    made = customers.high_value_classifier(features(spark, folder))
     requests = table(spark, folder, "orders").select(
         F.col("o_totalprice").alias("total"),
         F.when(F.col("o_custkey") % 9 == 0, 0).otherwise(F.col("o_custkey") % 9 * 10).cast("int").alias("qty"),

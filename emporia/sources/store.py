@@ -60,18 +60,23 @@ def save_model(model: MLWritable, metrics: DataFrame | None, path: str) -> None:
     model.write().overwrite().save(f"{path}/model")
     if metrics is not None:
         metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    # Written last: says that the model is whole, and whether it has metrics.
+    spark = SparkSession.active()
+    spark.range(1).select(F.lit(metrics is not None).alias("has_metrics")).write.mode("overwrite").parquet(f"{path}/whole")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/metrics")
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame | None]:
+    has_metrics = spark.read.schema("has_metrics boolean").parquet(f"{path}/whole").first()[0]
+    metrics = spark.read.parquet(f"{path}/metrics") if has_metrics else None
+    return PipelineModel.load(f"{path}/model"), metrics
 
 
 def model_exists(spark: SparkSession, path: str) -> bool:
+    """True for a model that was written to the end."""
     try:
-        spark.read.text(f"{path}/model/metadata").limit(1).count()
+        return spark.read.schema("has_metrics boolean").parquet(f"{path}/whole").count() == 1
     except AnalysisException:
         return False
-    return True
 
 
 def load_or_train(spark: SparkSession, path: str, train) -> tuple[PipelineModel, DataFrame]:

@@ -93,6 +93,15 @@ def test_recursive_forecast_feeds_itself(spark, series):
     assert found["flat"] == [20.0, 30.0, 40.0]
 
 
+def test_no_number_of_months_raises(spark):
+    for months in range(16):
+        rows = [("lait", month(i), 10.0 + i % 3) for i in range(months)]
+        fact = spark.createDataFrame(rows, "product_name string, purchase_date date, revenue double")
+        for found in (forecast.forecast_product(fact, "lait", rounds=2), forecast.forecast_total(fact, 3, rounds=2)):
+            got = found.collect()
+            assert [r.error is None for r in got] == ([True] * 3 if months >= 13 else [False])
+
+
 def test_product_errors(spark):
     fact = spark.createDataFrame(
         [("lait", month(0), 1.0)], "product_name string, purchase_date date, revenue double"

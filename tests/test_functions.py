@@ -63,12 +63,20 @@ def test_contains_join_with_shared_beginnings(spark):
     assert sorted(map(tuple, found)) == brute(texts, needles)
 
 
-def test_contained_names_agree_on_both_paths(spark):
+def test_contained_names(spark):
     texts = spark.createDataFrame(
         [(1, 0, "Tunis et SFAX"), (1, 1, "rien"), (2, 0, "grand tunis"), (2, 1, None)], "conv_id int, turn int, text string"
     )
-    names = spark.createDataFrame([("Tunis",), ("Sfax",), ("Grand Tunis",), (None,)], "name string")
+    names = spark.createDataFrame([("Tunis",), ("Sfax",), ("Grand Tunis",), (None,), ("",)], "name string")
     expected = {(1, 0): ["Sfax", "Tunis"], (1, 1): [], (2, 0): ["Grand Tunis", "Tunis"], (2, 1): []}
-    for bound in (2000, 1):
-        rows = contained_names(texts, ["conv_id", "turn"], "text", names, "name", "found", bound).collect()
-        assert {(r.conv_id, r.turn): r.found for r in rows} == expected
+    rows = contained_names(texts, ["conv_id", "turn"], "text", names, "name", "found").collect()
+    assert {(r.conv_id, r.turn): r.found for r in rows} == expected
+
+
+def test_contains_join_over_stretches(spark):
+    """Needles across the seams of long texts are found once."""
+    texts = ["x" * n + "needle" + "y" * 700 + "needle" for n in (0, 250, 253, 256, 511)]
+    left = spark.createDataFrame([(t,) for t in texts], "t string")
+    right = spark.createDataFrame([("needle",), ("needley",), ("xneedle",), ("zz",), ("",)], "n string")
+    found = sorted(map(tuple, contains_join(left, "t", right, "n").select("t", "n").collect()))
+    assert found == brute(texts, ["needle", "needley", "xneedle", "zz"])

@@ -173,3 +173,36 @@ def test_high_value(spark, features):
 def test_segments_cover_all_clients(features):
     rows = customers.segment_customers(features).collect()
     assert len(rows) == 102 and len({r.cluster for r in rows}) == 3
+
+
+def test_ridge_is_the_closed_form(spark):
+    """The learner adds α · |w|² with α = 1 to the sum of squares, the intercept being free."""
+    import numpy as np
+    from pyspark.ml.feature import VectorAssembler
+
+    from emporia.operators import sales_model
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 3)) * [1.0, 5.0, 0.2]
+    y = x @ [3.0, -1.0, 8.0] + 100 + rng.normal(size=40)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, revenue double")
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    model = sales_model.regressor("Ridge", 1, 1, 0, *sales_model.size_and_spread(rows)).fit(rows)
+    centred = x - x.mean(axis=0)
+    expected = np.linalg.solve(centred.T @ centred + np.eye(3), centred.T @ (y - y.mean()))
+    assert model.coefficients.toArray() == pytest.approx(expected, rel=1e-6)
+
+
+def test_model_without_metrics_and_half_written(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+
+    from emporia.sources import store
+
+    model = PipelineModel([SQLTransformer(statement="SELECT * FROM __THIS__")])
+    whole, half = str(tmp_path / "whole"), str(tmp_path / "half")
+    store.save_model(model, None, whole)
+    assert store.model_exists(spark, whole) and store.load_model(spark, whole)[1] is None
+    model.write().save(f"{half}/model")
+    assert not store.model_exists(spark, half)
+    assert store.load_or_train(spark, half, lambda: (model, spark.range(2)))[1].count() == 2

@@ -20,6 +20,10 @@ TURNS = [
     (3, 3, "un résumé"),
     (3, 4, "bonjour"),
     (4, 0, "top 99999999999999999999"),
+    (5, 0, "top 0 produits à Tunis"),
+    (5, 1, "et a Sfax ?"),
+    (6, 0, "Quel est le produit le plus acheté à Sfax, top 3 ?"),
+    (6, 1, "Analyse de pair \" \" avec 'pain'"),
 ]
 
 
@@ -54,15 +58,18 @@ def test_routes(routed):
         (1, 3): ("comparison", "Bizerte"), (2, 0): ("top_products", None), (2, 1): ("comparison", None),
         (2, 2): ("basket", None), (2, 3): ("basket", None), (3, 0): ("categories", None), (3, 1): ("top_products", None),
         (3, 2): ("comparison", None), (3, 3): ("insights", None), (3, 4): ("general", None), (4, 0): ("top_products", None),
+        (5, 0): ("top_products", None), (5, 1): ("top_products", None), (6, 0): ("top_products", None), (6, 1): ("basket", None),
     }
 
 
 def test_top_answers(routed, fact):
     rows = q.answer_top_products(routed, fact).collect()
     of = {}
-    for r in sorted(rows, key=lambda r: r["rank"]):
+    assert {(r.conv_id, r.turn) for r in rows if r.status == q.NO_PRODUCT} == {(5, 0)}
+    for r in sorted(rows, key=lambda r: r["rank"] or 0):
         of.setdefault((r.conv_id, r.turn), []).append((r.product_name, r.row_count))
     assert of[(1, 0)] == [("pain", 1)]
+    assert of[(6, 0)] == [("eau", 3)]
     assert of[(1, 2)] == [("jus", 5), ("eau", 3)]
     assert of[(3, 1)] == [("eau", 3), ("lait", 2)]
     assert of[(4, 0)] == [("jus", 5), ("pain", 5), ("lait", 4), ("eau", 3)]
@@ -79,7 +86,7 @@ def test_comparisons(routed, fact):
 
 def test_pair_answers(routed, fact):
     rows = {(r.turn, r["rank"]): r for r in q.answer_pairs(routed, fact).collect()}
-    assert set(rows) == {(2, 1), (3, 1)}
+    assert set(rows) == {(2, 1), (3, 1), (1, None)} and rows[(1, None)].status == q.TWO_NAMES
     assert (rows[(2, 1)].product_1, rows[(2, 1)].product_2, rows[(2, 1)].frequency) == ("lait", "pain", 1)
     # One of two baskets each, among four: lift 1, score 50 · ln 2 = 34.66.
     assert (rows[(3, 1)].confidence, rows[(3, 1)].tier) == (50.0, "often")
