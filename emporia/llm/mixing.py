@@ -154,7 +154,7 @@ def mix_sized(
             "source_size",
             "target",
             F.floor(F.col("_quota") / F.col("_ring")).alias("_rounds"),
-            (F.col("_quota") % F.col("_ring")).alias("_extra"),
+            (F.col("_quota") % F.col("_ring")).alias("_beyond"),
             F.pmod(F.xxhash64("source", F.lit(seed)), F.col("_ring")).alias("_first"),
         )
     )
@@ -165,16 +165,18 @@ def mix_sized(
     def overlap(start, stop):
         return F.greatest(F.least(end, stop * unit) - F.greatest(F.col("_begin"), start * unit), F.lit(0))
 
-    stop = F.col("_first") + F.col("_extra")
+    stop = F.col("_first") + F.col("_beyond")
     around = F.greatest(stop - F.ceil(F.col("source_size") / unit), F.lit(0))
     taken = F.col("_rounds") * F.col("size") + overlap(F.col("_first"), stop) + overlap(F.lit(0), around)
     return found.withColumn("taken", taken.cast("long")).drop(
-        "_source", "_rounds", "_extra", "_first", "_begin", "_order"
+        "_source", "_rounds", "_beyond", "_first", "_begin", "_order"
     )
 
 
 def repeat_taken(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each as often as its taken words make it up, rounded; columns of `docs`."""
+    own = {c: f"_own_{c}" for c in docs.columns if c.lower() in ADDED}
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    mixed = mix(docs, **options).withColumn("_copies", copies).where("_copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    mixed = mix(docs.withColumnsRenamed(own), **options).withColumn("_copies", copies).where("_copies > 0")
+    repeated = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

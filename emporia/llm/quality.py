@@ -109,9 +109,12 @@ def measure(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS,
     seen = max(rows.count(), 1)
     found = []
     for rule in rules:
-        began = time.perf_counter()
-        rejected = rows.agg(F.count_if(rule.fails)).first()[0]
-        found.append(Measured(rule, rejected / seen, time.perf_counter() - began))
+        times = []
+        for _ in range(2):  # the first run may compile code
+            began = time.perf_counter()
+            rejected = rows.agg(F.count_if(rule.fails)).first()[0]
+            times.append(time.perf_counter() - began)
+        found.append(Measured(rule, rejected / seen, min(times)))
     return found
 
 

@@ -113,14 +113,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url:
     )
     found = (
         sweep(points, nested(rules))
-        .select("host", "path", longest.alias("best"))
-        .where("best IS NOT NULL")
+        .select("host", "path", longest.alias("_best"))
+        .where("_best IS NOT NULL")
         .groupBy(F.col("host").alias("_host"), F.col("path").alias("_path"))
-        .agg(F.max("best").alias("best"))
+        .agg(F.max("_best").alias("_best"))
     )
     same = F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))
     return (
         rows.join(found, same, "left")
-        .withColumns({"rule": F.col("best.r"), "verdict": F.coalesce("best.v", F.lit(default))})
-        .drop("best", "_host", "_path")
+        .withColumns({"rule": F.col("_best.r"), "verdict": F.coalesce("_best.v", F.lit(default))})
+        .drop("_best", "_host", "_path")
     )
