@@ -22,6 +22,8 @@ HEADLINES = [
     "revenue_by_month",
     "kpi_geo",
     "top_products_per_delegation",
+    "dedup_purchases",
+    "kpi_product",
     "customer_features",
     "monthly_series",
     "pair_metrics",
@@ -29,8 +31,12 @@ HEADLINES = [
     "layout",
     "association_rules",
     "forecast_seasonal",
+    "analyze_pairs",
+    "match_product_name",
+    "answer_pairs",
     "rank_regions",
     "route_questions",
+    "segment_customers",
 ]
 
 

@@ -12,6 +12,7 @@ from emporia.schema import NUMBER_COLUMNS, TEXT_COLUMNS
 # Texts that stand for "nothing" in a product's name, brand or category.
 NULLISH = ["nan", "none", "", "unknown", "inconnu", "n/a", "na"]
 
+# The columns that make two purchases the same.
 DEDUP_KEYS = ["client_id", "purchase_date", "product_id", "total_price", "quantity"]
 
 
@@ -31,11 +32,22 @@ def number(column: str) -> Column:
     return F.when(~odd, text.try_cast("double"))
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Replace columns by expressions that later filters do not repeat.
+
+    Spark pushes a filter on a computed column below the projection and computes the column again
+    there; filters do not cross a generator of one row.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    made = F.inline(F.array(F.struct(*[value.alias(c) for c, value in columns.items()])))
+    return df.select(*kept, made).select(*df.columns)
+
+
 def coerce_types(raw: DataFrame, date_format: str = "d/M/yyyy") -> DataFrame:
     """Numbers and day-first dates from text; whatever does not parse becomes null."""
     numbers = {c: number(c) for c in NUMBER_COLUMNS}
     day = F.try_to_timestamp(F.col("purchase_date"), F.lit(date_format)).cast("date")
-    return raw.withColumns({**numbers, "purchase_date": day})
+    return computed_once(raw, {**numbers, "purchase_date": day})
 
 
 def filter_valid(df: DataFrame) -> DataFrame:
@@ -47,7 +59,7 @@ def filter_valid(df: DataFrame) -> DataFrame:
 
 def normalize_text(df: DataFrame) -> DataFrame:
     folded = {c: F.lower(F.trim(c)) for c in TEXT_COLUMNS}
-    return df.withColumns({**folded, "client_id": F.trim("client_id")})
+    return computed_once(df, {**folded, "client_id": F.trim("client_id")})
 
 
 def drop_nullish(df: DataFrame) -> DataFrame:

@@ -19,13 +19,13 @@ def total_sales(fact: DataFrame) -> DataFrame:
 
 def kpi_product(fact: DataFrame, products: DataFrame) -> DataFrame:
     """Revenue from the fact, distinct names and brands from the product dimension."""
-    names = products.agg(F.countDistinct("product_name")).scalar()
-    brands = products.agg(F.countDistinct("brand")).scalar()
+    counts = products.agg(F.struct(F.countDistinct("product_name").alias("names"), F.countDistinct("brand").alias("brands")))
+    found = counts.scalar()
     revenue = fact.agg(F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"))
     return revenue.select(
         py_round(F.col("revenue"), 2).alias("revenue"),
-        names.alias("product_count"),
-        brands.alias("brand_count"),
+        found["names"].alias("product_count"),
+        found["brands"].alias("brand_count"),
     )
 
 
