@@ -15,6 +15,7 @@ import time
 
 from emporia.plans import QUERIES
 from emporia.session import build_session
+from emporia.sources.store import run_folder
 
 HEADLINES = [
     "clean_purchases",
@@ -59,7 +60,8 @@ def main() -> None:
     for name in wanted:
 
         def run(name=name):
-            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            with run_folder(spark):
+                QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
 
         run()
         seconds[name] = round(statistics.median(timed(run) for _ in range(runs)), 3)

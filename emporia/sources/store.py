@@ -5,6 +5,9 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -28,14 +31,39 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="emporia-")
 
 
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A fresh path for intermediate data, in the current run folder if there is one."""
+    parent = _RUN.get() or f"{shared_dir(spark).rstrip('/')}/emporia"
+    return f"{parent}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Work tables made in this block go to one folder, which is removed at its end.
+
+    What the block needs of their contents must be written or collected before it ends.
+    """
+    path = scratch_path(spark)
+    token = _RUN.set(path)
+    try:
+        yield path
+    finally:
+        _RUN.reset(token)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def work_table(df: DataFrame) -> DataFrame:
-    """Write an intermediate table once and read it back.
+    """Write an intermediate table once and read it back; `run_folder` removes it.
 
     Cuts the lineage, survives the loss of executors, and gives the planner a measured size to
     decide on broadcasts with.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/emporia/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

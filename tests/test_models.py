@@ -206,3 +206,16 @@ def test_model_without_metrics_and_half_written(spark, tmp_path):
     model.write().save(f"{half}/model")
     assert not store.model_exists(spark, half)
     assert store.load_or_train(spark, half, lambda: (model, spark.range(2)))[1].count() == 2
+
+
+def test_run_folder_goes_with_its_block(spark):
+    import os
+
+    from emporia.sources import store
+
+    with store.run_folder(spark) as path:
+        assert work_table(spark.range(3)).count() == 3
+        here = path.removeprefix("file:")
+        assert os.listdir(here)
+    assert not os.path.exists(here)
+    assert store.scratch_path(spark).rsplit("/", 1)[0] != path
