@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emporia.sources.store import work_table
+
 # White space of the word rule: words are runs of anything else.
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[ \t-\r]+"
@@ -55,8 +57,9 @@ def running_total(df: DataFrame, group: str, order: str, value: str, into: str,
     )
     inner = Window.partitionBy(group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at"))
+    # Stored, the offsets have a known size: Spark need not shuffle the rows to find that it can broadcast.
     return (
-        rows.join(offsets, same)
+        rows.join(work_table(offsets), same)
         .withColumn(into, F.col("_offset") + F.coalesce(F.sum(value).over(inner), F.lit(0)))
         .drop("_range", "_group", "_at", "_offset")
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from emporia.llm import (
     decontamination, lm_scoring, mixing, quality, sharding, simhash, token_counts, token_files, toxicity, url_filter,
 )
 from emporia.llm.common import documents, table
-from emporia.sources.store import shared_dir
+from emporia.sources.store import scratch_path
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -138,7 +136,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    files = f"{shared_dir(spark).rstrip('/')}/emporia/{uuid.uuid4().hex}"
+    files = scratch_path(spark)
     token_files.write_token_files(documents(spark, folder), files)
     return token_files.read_documents(spark, files, with_ids=False)
 

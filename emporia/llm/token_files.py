@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -14,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emporia.sources.store import shared_dir
+from emporia.sources.store import scratch_path
 
 END_ID = 2
 LIMIT = 16  # longest code in bits; the decoding table has 2^16 entries
@@ -312,7 +311,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     """
     path = tokenizer or tokenizer_path()
     spark = docs.sparkSession
-    work = f"{shared_dir(spark).rstrip('/')}/emporia/{uuid.uuid4().hex}"
+    work = scratch_path(spark)
     tokenized(docs, path).write.option("compression", "zstd").parquet(work)
     tokens = spark.read.parquet(work)
     lengths = code_lengths(id_counts(tokens))
