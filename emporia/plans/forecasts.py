@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import functions as F
+
 from emporia.operators import forecast
 from emporia.operators.kpi import monthly_series
 from emporia.plans.registry import r, register, tidy
@@ -128,24 +132,60 @@ def q_stock_advice(spark, folder):
     return tidy(forecast.stock_advice(sales(spark, folder, "product_name", "purchase_date", "quantity")), 2)
 
 
-@register("forecast_boosted")
+@functools.cache
+def boosted_products(spark, folder):
+    """The stored series and their model, fitted once per session and folder."""
+    series = work_table(product_series(spark, folder))
+    return series, forecast.train_boosted(series)
+
+
+# What SQL can decide of a learned forecast: which months of which series it covers, and that it is not negative.
+
+
+def decided(forecasts):
+    return forecasts.withColumn("not_negative", F.col("yhat") >= 0).drop("yhat")
+
+
+def months_after(last: str, periods: int, key: str = "") -> str:
+    return f"""SELECT {key}CAST(last_ds + to_months(CAST(step AS INTEGER)) AS DATE) AS ds, true AS not_negative
+    FROM (SELECT {key}last_ds, unnest(range(1, {periods} + 1)) AS step FROM ({last}))"""
+
+
+@register(
+    "forecast_boosted",
+    f"""WITH {SALES}, {MONTHLY}, lagged AS (SELECT series_key, count(*) - 3 AS n FROM series GROUP BY 1)
+    SELECT series_key, n - CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT) AS row_count, true AS consistent
+    FROM lagged WHERE n >= 10""",
+)
 def q_forecast_boosted(spark, folder):
-    """Hold-out metrics of the boosted trees for every product."""
-    return forecast.train_boosted(product_series(spark, folder)).metrics
+    """Hold-out metrics of the boosted trees for every product: months tested, and whether the figures agree."""
+    metrics = boosted_products(spark, folder)[1].metrics
+    agree = (F.col("mae") >= 0) & (F.col("rmse") * (1 + 1e-9) >= F.col("mae")) & (F.coalesce("r2", F.lit(0.0)) <= 1)
+    return metrics.select("series_key", "row_count", agree.alias("consistent"))
 
 
-@register("forecast_recursive")
+@register(
+    "forecast_recursive",
+    f"WITH {SALES}, {MONTHLY} {months_after('SELECT series_key, max(ds) AS last_ds FROM series GROUP BY 1', 3, 'series_key, ')}",
+)
 def q_forecast_recursive(spark, folder):
-    series = work_table(product_series(spark, folder))
-    return forecast.forecast_recursive(series, forecast.train_boosted(series).model, 3)
+    series, boosted = boosted_products(spark, folder)
+    return decided(forecast.forecast_recursive(series, boosted.model, 3))
+
+
+LAST_MONTH = "SELECT date_trunc('month', max(purchase_date)) AS last_ds FROM sales"
 
 
-@register("forecast_total")
+@register("forecast_total", f"WITH {SALES} {months_after(LAST_MONTH, 6)}")
 def q_forecast_total(spark, folder):
-    return forecast.forecast_total(sales(spark, folder, "purchase_date", "revenue"))
+    found = forecast.forecast_total(sales(spark, folder, "purchase_date", "revenue"))
+    return decided(found.where("error IS NULL").drop("series_key", "error"))
 
 
-@register("forecast_product")
+@register(
+    "forecast_product",
+    f"WITH {SALES} {months_after(LAST_MONTH + chr(10) + 'WHERE contains(lower(product_name), ' + repr('gizmo') + ')', 3)}",
+)
 def q_forecast_product(spark, folder):
     fact = sales(spark, folder, "product_name", "purchase_date", "revenue")
-    return forecast.forecast_product(fact, "gizmo")
+    return decided(forecast.forecast_product(fact, "gizmo").where("error IS NULL").drop("error"))

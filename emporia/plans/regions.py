@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
@@ -169,12 +170,17 @@ def q_rank_regions(spark, folder):
     return location.rank_regions(detail, location_requests(spark, folder))
 
 
-@register("location_model")
+@register("location_model", f"WITH {SALES}, {CELLS} SELECT category, region, true AS is_known, true AS is_blend FROM cells")
 def q_location_model(spark, folder):
-    """Known cells as 0.6 observed + 0.4 model."""
+    """Known cells as 0.6 observed + 0.4 model: what is left of a prediction is a mean of observed revenues."""
     known = work_table(cells(spark, folder))
     model = location.train_location_model(known).model
-    return location.predict_region_revenue(known, known, model)
+    found = location.predict_region_revenue(known, known, model)
+    bounds = known.agg(F.struct(F.min("revenue").alias("low"), F.max("revenue").alias("high"))).scalar()
+    rest = (F.col("predicted") - location.OBSERVED_WEIGHT * F.col("revenue")) / location.MODEL_WEIGHT
+    near = 1e-6 * F.abs("revenue") + 1e-6
+    blend = rest.between(bounds["low"] - near, bounds["high"] + near)
+    return found.join(known, ["category", "region"]).select("category", "region", "is_known", blend.alias("is_blend"))
 
 
 @register("location_metrics")
@@ -230,14 +236,33 @@ def q_regression_metrics(spark, folder):
     return out.withColumns({c: location.py_round(F.col(c), d) for c, d in digits.items()})
 
 
-@register("sales_model_v2")
+@functools.cache
+def fitted_sales_model(spark, folder):
+    """Fitted once per session and folder."""
+    return sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS))
+
+
+V2_ROWS = "SELECT DISTINCT category, delegation, locality, month(purchase_date) AS month FROM sales"
+
+
+@register(
+    "sales_model_v2",
+    f"""WITH {SALES} SELECT CAST(2 AS BIGINT) AS parts, count(*) AS row_count, true AS consistent FROM ({V2_ROWS})""",
+)
 def q_sales_model_v2(spark, folder):
-    return sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS)).metrics
+    """Rows scored in both parts, and whether the metrics agree."""
+    agree = (F.col("mae") >= 0) & (F.col("rmse") * (1 + 1e-9) >= F.col("mae")) & (F.col("r2") <= 1)
+    return fitted_sales_model(spark, folder).metrics.agg(
+        F.count("*").alias("parts"), F.sum("row_count").alias("row_count"), F.bool_and(agree).alias("consistent")
+    )
 
 
-@register("feature_importance")
+@register("feature_importance", "SELECT 1.0::DOUBLE AS total, true AS not_negative")
 def q_feature_importance(spark, folder):
-    return sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS)).importance
+    shares = fitted_sales_model(spark, folder).importance
+    return shares.agg(
+        F.round(F.sum("importance"), 6).alias("total"), F.bool_and(F.col("importance") >= 0).alias("not_negative")
+    )
 
 
 @register("sales_model_select")
@@ -271,29 +296,53 @@ def sales_requests(spark, folder):
     )
 
 
-@register("predict_sales")
+ASKED_SALES = """asked AS (
+  SELECT DISTINCT category, delegation, locality, month, CASE WHEN month IS NULL THEN 'year' ELSE 'month' END AS period_type
+  FROM (SELECT unnest([category, brand]) AS category, delegation, locality FROM sales)
+  CROSS JOIN (SELECT CAST(NULL AS INTEGER) AS month UNION ALL SELECT 7)
+)"""
+
+
+@register("predict_sales", f"WITH {SALES}, {ASKED_SALES} SELECT *, true AS not_negative FROM asked")
 def q_predict_sales(spark, folder):
-    model = sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS)).model
-    return sales_model.predict_sales(sales_requests(spark, folder), model).drop("by_month")
+    """What is predicted for which request; trees over revenues are not negative."""
+    model = fitted_sales_model(spark, folder).model
+    found = sales_model.predict_sales(sales_requests(spark, folder), model)
+    return found.withColumn("not_negative", F.col("predicted_revenue") >= 0).drop("by_month", "predicted_revenue")
 
 
-@register("total_prediction")
+@register(
+    "total_prediction",
+    f"""WITH {SALES}, {ASKED_SALES} SELECT delegation, locality, month, period_type, count(*) AS category_count,
+    true AS not_negative FROM asked GROUP BY 1, 2, 3, 4""",
+)
 def q_total_prediction(spark, folder):
-    model = sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS)).model
-    return sales_model.total_prediction(sales_model.predict_sales(sales_requests(spark, folder), model))
+    model = fitted_sales_model(spark, folder).model
+    found = sales_model.total_prediction(sales_model.predict_sales(sales_requests(spark, folder), model))
+    return found.withColumn("not_negative", F.col("total_revenue") >= 0).drop("total_revenue")
 
 
-@register("save_and_load_model")
+@register(
+    "save_and_load_model",
+    f"WITH {SALES} SELECT count(*) AS predictions, CAST(0 AS BIGINT) AS differences FROM ({V2_ROWS})",
+)
 def q_save_and_load_model(spark, folder):
-    """Metrics of a model that was trained, saved and read back."""
+    """Predictions of a model that was trained, saved and read back, and how many differ from its own."""
     path = f"{shared_dir(spark).rstrip('/')}/emporia/model-{uuid.uuid4().hex}"
 
     def train():
-        made = sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS))
+        made = fitted_sales_model(spark, folder)
         return made.model, made.metrics
 
     load_or_train(spark, path, train)
-    return load_or_train(spark, path, train)[1]
+    loaded = load_or_train(spark, path, train)[0]
+    rows = work_table(sales_model.sales_features_v2(sales(spark, folder, *PLACE_COLUMNS)))
+    own = fitted_sales_model(spark, folder).model.transform(rows).select(*sales_model.PLACE, "month", "prediction")
+    again = loaded.transform(rows).select(*sales_model.PLACE, "month", F.col("prediction").alias("read_back"))
+    differs = ~F.col("prediction").eqNullSafe(F.col("read_back"))
+    return own.join(again, [*sales_model.PLACE, "month"]).agg(
+        F.count("*").alias("predictions"), F.count_if(differs).alias("differences")
+    )
 
 
 def features(spark, folder):
@@ -305,7 +354,10 @@ def q_high_value_classifier(spark, folder):
     return customers.high_value_classifier(features(spark, folder)).metrics
 
 
-@register("predict_high_value")
+@register(
+    "predict_high_value",
+    """SELECT o_totalprice AS total, CAST(o_custkey % 9 * 10 AS INTEGER) AS qty, true AS is_class FROM orders""",
+)
 def q_predict_high_value(spark, folder):
     """Requests made from every order: its price and, for some, no quantity."""
     made = customers.high_value_classifier(features(spark, folder))
@@ -313,9 +365,12 @@ def q_predict_high_value(spark, folder):
         F.col("o_totalprice").alias("total"),
         F.when(F.col("o_custkey") % 9 == 0, 0).otherwise(F.col("o_custkey") % 9 * 10).cast("int").alias("qty"),
     )
-    return customers.predict_high_value(requests, made.model)
+    found = customers.predict_high_value(requests, made.model)
+    return found.withColumn("is_class", F.col("prediction").isin(0, 1)).drop("prediction")
 
 
-@register("segment_customers")
+@register("segment_customers", f"WITH {SALES} SELECT DISTINCT client_id, true AS is_cluster FROM sales")
 def q_segment_customers(spark, folder):
-    return customers.segment_customers(features(spark, folder))
+    """Every client once, in one of the clusters."""
+    found = customers.segment_customers(features(spark, folder))
+    return found.withColumn("is_cluster", F.col("cluster").between(0, customers.SEGMENTS - 1)).drop("cluster")
