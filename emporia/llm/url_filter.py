@@ -47,12 +47,14 @@ def nested(rules: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("verdict", "rule")).alias("top"))
         .select("key", "top.rule", "top.verdict")
     )
-    host_part = F.substring_index("key", END, 1)
-    outer = single.select(host_part.alias("_h"), F.struct("key", "rule", "verdict").alias("outer"))
-    # Enclosing rules have the same host and a shorter path: a join on the host, per rule, not per URL.
+    outer = single.select(F.col("key").alias("_prefix"), F.struct("key", "rule", "verdict").alias("outer"))
+    # Enclosing rules have the same host and a beginning of the path: each beginning is looked up, so that
+    # the work grows with the length of the rules and not with the square of a host's number of them.
+    least = F.length(F.substring_index("key", END, 1)) + 1
+    beginnings = F.transform(F.sequence(least, F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n))
     return (
-        single.join(outer, host_part == F.col("_h"))
-        .where(F.startswith(F.col("key"), F.col("outer.key")))
+        single.select("key", F.explode(beginnings).alias("_prefix"))
+        .join(outer, "_prefix")
         .groupBy("key")
         .agg(F.array_sort(F.collect_list("outer")).alias("chain"))
     )
