@@ -82,17 +82,30 @@ def bigram_counts(texts: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
         found = np.nonzero(counts)[0]
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["pair", "n"])
 
-    rows = texts.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(size * size)  # the driver sees the square of the vocabulary, whatever the corpus
-    counts[rows.pair.to_numpy(np.int64)] = rows.n.to_numpy(float)
+    summed = texts.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            columns = [pa.array([pairs.astype("<i4").tobytes()]), pa.array([n.astype("<f4").tobytes()])]
+            yield pa.RecordBatch.from_arrays(columns, names=["pairs", "counts"])
+
+    # The driver fills the square of the vocabulary, whatever the corpus, one partition after the other.
+    counts = np.zeros(size * size, np.float32)
+    for row in summed.mapInArrow(packed, "pairs binary, counts binary").toLocalIterator():
+        counts[np.frombuffer(row.pairs, "<i4")] = np.frombuffer(row.counts, "<f4")
     return counts.reshape(size, size)
 
 
 def losses(counts: np.ndarray, scale: float = 1.0, prior: float = PRIOR) -> np.ndarray:
     """-log p(word | word before): counts times `scale`, smoothed by the unigram model."""
-    scaled = counts * scale
-    single = (scaled.sum(axis=0) + 1) / (scaled.sum() + len(counts))
-    return -np.log((scaled + prior * single) / (scaled.sum(axis=1, keepdims=True) + prior)).astype(np.float32)
+    result = counts * np.float32(scale)
+    before = result.sum(axis=1, keepdims=True, dtype=np.float64)
+    single = (result.sum(axis=0, dtype=np.float64) + 1) / (before.sum() + len(counts))
+    result += (prior * single).astype(np.float32)
+    result /= (before + prior).astype(np.float32)
+    np.log(result, out=result)
+    return np.negative(result, out=result)
 
 
 def models(target: DataFrame, background: DataFrame, size: int = VOCABULARY):
@@ -102,9 +115,11 @@ def models(target: DataFrame, background: DataFrame, size: int = VOCABULARY):
     evidence of the same weight and smoothing pulls both alike.
     """
     vocabulary = shared_vocabulary(target, background, size)
-    own, other = bigram_counts(target, vocabulary), bigram_counts(background, vocabulary)
-    scale = own.sum() / other.sum() if own.sum() and other.sum() else 1.0
-    return vocabulary, losses(own), losses(other, scale)
+    counts = bigram_counts(target, vocabulary)
+    words, own = counts.sum(dtype=np.float64), losses(counts)
+    counts = bigram_counts(background, vocabulary)
+    others = counts.sum(dtype=np.float64)
+    return vocabulary, own, losses(counts, words / others if words and others else 1.0)
 
 
 def score(docs: DataFrame, target: DataFrame, background: DataFrame, size: int = VOCABULARY) -> DataFrame:
