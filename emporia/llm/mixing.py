@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: Sainte-Laguë quotas of equal-token blocks."""
+"""Mixing sources to target weights: Sainte-Laguë quotas of single words."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from emporia.llm.common import buckets_for, fresh, running_total, word_count
 from emporia.sources.store import work_table
 
 SHARDS = 8
-BLOCKS_PER_SHARD = 1 << 14
 REPEATS = 3  # no document and no source is taken more often than this
 WEIGHTS = (1, 2, 3)  # of the sources in code point order, repeating
 SEED = 20
@@ -91,8 +90,8 @@ def apportion(claims: DataFrame) -> DataFrame:
     )
 
 
-def shard_quotas(targets: DataFrame, blocks: int, shards: int = SHARDS) -> DataFrame:
-    """(shard, rank, drawn, quota): blocks of the source for the shard, and those drawn before it.
+def shard_quotas(targets: DataFrame, seats: int, shards: int = SHARDS) -> DataFrame:
+    """(shard, rank, drawn, quota): words of the source for the shard, and those drawn before it.
 
     Sainte-Laguë never takes a seat away when the house grows, so the quotas of a shard are the seats
     of the first shards up to it, less those without it: whole numbers, none negative, and every
@@ -100,7 +99,7 @@ def shard_quotas(targets: DataFrame, blocks: int, shards: int = SHARDS) -> DataF
     """
     ends = F.explode(F.sequence(F.lit(1), F.lit(shards))).alias("house")
     claims = targets.select("rank", "target", ends).withColumn(
-        "seats_in_house", F.floor(F.lit(blocks) * F.col("house") / shards)
+        "seats_in_house", F.floor(F.lit(seats) * F.col("house") / shards)
     )
     up_to = Window.partitionBy("rank").orderBy("house")
     return apportion(claims).select(
@@ -111,17 +110,14 @@ def shard_quotas(targets: DataFrame, blocks: int, shards: int = SHARDS) -> DataF
     )
 
 
-def block_size(total: int, shards: int = SHARDS, per_shard: int = BLOCKS_PER_SHARD) -> int:
-    return max(1, total // (shards * per_shard))
-
-
 def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """Rows of `docs` with size (words), source_size, target (of the source) and taken (words).
 
-    A source's documents stand in a seeded order and are cut into blocks of equal token number, which
-    form a ring. From a seeded block on, the shards draw their quotas of blocks one after the other; a
-    quota beyond the ring goes round again, `REPEATS` times at most. `taken` sums the words of a
-    document in all drawn blocks. Sizes, targets and draws depend on the rows only: reruns agree.
+    A source's documents stand in a seeded order, and their words form a ring. From a seeded word on, the
+    shards draw their quotas of words one after the other; a quota beyond the ring goes round again,
+    `REPEATS` times at most. `taken` counts the drawn words of a document. Quotas are settled to the word
+    at any size of the input, so that every source, however small, is within a word of its target. Sizes,
+    targets and draws depend on the rows only: reruns agree.
 
     A null text has size 0; a null source is a source of its own, last in order. Repeated rows count
     one by one. Columns named like the added ones are replaced; an empty table gives an empty result.
@@ -142,12 +138,10 @@ def mix_sized(
     rows = work_table(rows)
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     targets = work_table(source_targets(rows))
-    unit = block_size(total, shards)
-    quotas = shard_quotas(targets, round(total / unit), shards).groupBy("rank").agg(F.sum("quota").alias("quota"))
-    ring = F.ceil(F.col("source_size") / unit)
+    quotas = shard_quotas(targets, total, shards).groupBy("rank").agg(F.sum("quota").alias("quota"))
     plan = (
         targets.join(quotas, "rank")
-        .withColumn("_ring", F.greatest(ring, F.lit(1)))
+        .withColumn("_ring", F.greatest("source_size", F.lit(1)))
         .withColumn("_quota", F.least(F.col("quota"), F.col("_ring") * REPEATS))
         .select(
             F.col("source").alias("_source"),
@@ -163,10 +157,10 @@ def mix_sized(
     end = F.col("_begin") + F.col("size")
 
     def overlap(start, stop):
-        return F.greatest(F.least(end, stop * unit) - F.greatest(F.col("_begin"), start * unit), F.lit(0))
+        return F.greatest(F.least(end, stop) - F.greatest(F.col("_begin"), start), F.lit(0))
 
     stop = F.col("_first") + F.col("_beyond")
-    around = F.greatest(stop - F.ceil(F.col("source_size") / unit), F.lit(0))
+    around = F.greatest(stop - F.col("source_size"), F.lit(0))
     taken = F.col("_rounds") * F.col("size") + overlap(F.col("_first"), stop) + overlap(F.lit(0), around)
     return found.withColumn("taken", taken.cast("long")).drop(
         "_source", "_rounds", "_beyond", "_first", "_begin", "_order"

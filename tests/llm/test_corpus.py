@@ -268,6 +268,21 @@ def test_mix_meets_targets(spark):
     assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in mixing.mix(docs).collect())
 
 
+def test_small_sources_beside_a_hot_one_meet_targets(spark):
+    sizes = {"hot": 200_000_000, "s2": 6_000, "s30": 30_000, "x": 1}
+    rows = spark.createDataFrame(
+        [("hot", i, 50_000) for i in range(4000)] + [("s2", i, 2_000) for i in range(3)]
+        + [("s30", i, 3_000) for i in range(10)] + [("x", 0, 1)],
+        "source string, doc_id bigint, size bigint",
+    )
+    mixed = mixing.mix_sized(rows.withColumn("_order", F.xxhash64("source", "doc_id")))
+    taken = {r.source: r.taken for r in mixed.groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    targets = plain_targets(sizes)
+    assert sum(sizes.values()) > 131_072 * 1_000
+    for s in sizes:
+        assert taken[s] == pytest.approx(targets[s], abs=1)
+
+
 def test_caps_are_reshared(spark):
     docs = documents(spark, [prose(i, 90) if i % 9 else prose(i, 2) for i in range(90)], ["s0"] + [f"s{i % 3}" for i in range(8)])
     rows = mixing.mix(docs).collect()
