@@ -150,4 +150,4 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Likeness to the benchmark's texts, with all documents as the background."""
     docs = documents(spark, folder)
-    return lm_scoring.score(docs, table(spark, folder, "benchmark", "text"), docs.select("text")).drop("text")
+    return lm_scoring.score(docs, table(spark, folder, "benchmark", "text")).drop("text")

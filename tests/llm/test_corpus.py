@@ -539,6 +539,47 @@ def test_scores_against_plain_models(spark):
     assert rows[0].score > rows[3].score
 
 
+@pytest.mark.parametrize("shared", [True, False])
+def test_every_word_counts_in_the_models(spark, shared, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BUCKET_WORDS", 2_000)  # several buckets, hot words and chunks
+    monkeypatch.setattr(lm_scoring, "CHUNK_WORDS", 1_500)
+    texts = [prose(i, 150, 6_000) + " the of" * 20 + f" rare{i % 30} thing" for i in range(60)] + ["", None]
+    target = ["the rare3 thing", "rare3 thing of the"]
+    corpus = [(t,) for t in (texts if shared else texts[:40])]
+    text = lambda rows: spark.createDataFrame(rows, "text string")
+    docs = documents(spark, texts + texts[:1])
+    docs = docs.unionByName(docs.where("doc_id = 5"))
+    corpus = docs.select("text") if shared else text(corpus)
+    rows = lm_scoring.score(docs, text([(t,) for t in target]), None if shared else corpus).collect()
+    known = {w for t in [r.text for r in corpus.collect()] + target for w in (t or "").split()}
+    assert len(known) > 2_048
+
+    def plain(texts, words=None):
+        pairs = Counter()
+        for t in texts:
+            ids = ["<s>", *(t or "").split()]
+            pairs.update(zip(ids, ids[1:]))
+        n = sum(pairs.values())
+        scale, before, single = (words or n) / n, Counter(), Counter()
+        for (v, w), c in pairs.items():
+            before[v] += c
+            single[w] += c
+        smooth = lambda w: (scale * single[w] + 1) / (scale * n + len(known) + 2)
+        return lambda v, w: -np.log(
+            (scale * pairs[v, w] + lm_scoring.PRIOR * smooth(w)) / (scale * before[v] + lm_scoring.PRIOR)
+        )
+
+    losses = plain(target), plain([r.text for r in corpus.collect()], 7)
+    assert len(rows) == len(texts) + 2
+    for r in rows:
+        ids = ["<s>", *(r.text or "").split()]
+        expected = [sum(f(v, w) for v, w in zip(ids, ids[1:])) / max(1, len(ids) - 1) for f in losses]
+        assert r.n_tokens == len(ids) - 1
+        assert [r.target_loss, r.background_loss] == pytest.approx(expected, rel=1e-6)
+    ranked = sorted((r for r in rows if r.text), key=lambda r: -r.score)
+    assert not shared or {w for r in ranked[:2] for w in r.text.split() if w.startswith("rare")} == {"rare3"}
+
+
 def test_scores_tell_domains_apart(spark):
     own, other = [prose(i, 80, 50) for i in range(30)], [prose(i, 80, 50).replace("w", "v") for i in range(30)]
     docs = documents(spark, own[15:] + other[15:])
