@@ -56,7 +56,7 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def work_table(df: DataFrame) -> DataFrame:
+def work_table(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write an intermediate table once and read it back; `run_folder` removes it.
 
     Cuts the lineage, survives the loss of executors, and gives the planner a measured size to
@@ -64,7 +64,7 @@ def work_table(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
