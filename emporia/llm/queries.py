@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emporia.llm import (
-    decontamination, lm_scoring, mixing, quality, sharding, simhash, token_counts, token_files, toxicity, url_filter,
+    decontamination, filter_audit, lm_scoring, mixing, quality, sharding, simhash, token_counts, token_files, toxicity,
+    url_filter,
 )
 from emporia.llm.common import documents, table
 from emporia.sources.store import scratch_path
@@ -151,3 +152,50 @@ def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Likeness to the benchmark's texts, with all documents as the background."""
     docs = documents(spark, folder)
     return lm_scoring.score(docs, table(spark, folder, "benchmark", "text")).drop("text")
+
+
+@query
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, folder, "labels", "doc_id", "quality", "toxic"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS words
+  FROM documents
+), k AS (
+  SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, map {
+    'A': len(words) < 200,
+    'B': 100 * len(list_distinct(words)) < 50 * len(words),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'),
+    'E': coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)
+  } AS fails
+  FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+), l AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS letters FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT letters, array_to_string(letters, '') AS filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o
+), t AS (
+  SELECT *, fails[letters[step]] AS own, list_bool_or([false] || [fails[x] FOR x IN letters[:step - 1]]) AS earlier,
+         len([x FOR x IN letters IF fails[x]]) AS n_fails
+  FROM (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL) g, s
+), r AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, letters[step] AS letter,
+         CAST(coalesce(sum(n) FILTER (NOT own AND NOT earlier), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (own AND NOT earlier), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (own AND earlier), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (own AND n_fails = 1), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(n) FILTER (own AND NOT earlier AND good), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(n) FILTER (own AND NOT earlier AND toxic), 0) AS BIGINT) AS toxic_lost
+  FROM t GROUP BY ALL
+)
+SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
+"""
