@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emporia.llm import (
-    decontamination, filter_audit, lm_scoring, mixing, quality, sharding, simhash, token_counts, token_files, toxicity,
-    url_filter,
+    decontamination, filter_audit, lm_scoring, mixing, quality, sharding, simhash, spelling, token_counts, token_files,
+    toxicity, url_filter,
 )
 from emporia.llm.common import documents, table
 from emporia.sources.store import scratch_path
@@ -199,3 +199,53 @@ WITH d AS (
 )
 SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
 """
+
+
+@query
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(documents(spark, folder))
+
+
+# DuckDB has no CRC-32: the table of bytes comes from the polynomial, and bytes from code points below 256.
+ORACLES["op11_spelling"] = r"""
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, _: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY b) AS crc_of
+  FROM (SELECT unnest(range(256)) AS b)
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc,
+         unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')) AS raw
+  FROM documents
+), low AS (
+  SELECT doc, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY ALL
+), bytes AS (
+  SELECT *, flatten([CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END
+                     FOR c IN string_split(doc || ':' || run, '')]) AS b
+  FROM low
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce([4294967295] || b, lambda c, x: xor(c >> 8, crc_of[xor(c, x) % 256 + 1]))) AS h
+  FROM bytes, t
+), noisy AS (
+  SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+  FROM hashed
+), v AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n, length(word) AS l FROM noisy WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+  SELECT word, n, l, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(l)) AS i FROM v)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN v b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN v b ON a.rest = b.word
+), best AS (
+  SELECT word, n, count(*) AS n_near, max(other_n) AS best_n, min(other) FILTER (other_n = top) AS best
+  FROM (SELECT *, max(other_n) OVER (PARTITION BY word) AS top FROM near) GROUP BY word, n
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * v.n THEN best END AS form,
+         CASE WHEN best_n >= 10 * v.n THEN best_n END AS form_n
+  FROM v LEFT JOIN best ON v.word = best.word
+), chain AS (
+  SELECT word, word AS at, form AS onward FROM f
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN f ON f.word = c.onward
+)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.at AS root FROM f JOIN chain c ON f.word = c.word AND c.onward IS NULL
+"""
