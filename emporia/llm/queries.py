@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emporia.llm import (
-    decontamination, filter_audit, lm_scoring, mixing, quality, sharding, simhash, spelling, token_counts, token_files,
+    decontamination, filter_audit, language, lm_scoring, mixing, quality, sharding, simhash, spelling, token_counts, token_files,
     toxicity, url_filter,
 )
 from emporia.llm.common import documents, table
@@ -249,3 +249,10 @@ WITH RECURSIVE t AS (
 )
 SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.at AS root FROM f JOIN chain c ON f.word = c.word AND c.onward IS NULL
 """
+
+
+@query
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "doc_id", "text", "lang")
+    model = language.train(docs, F.col("doc_id").isNotNull() & ~held_out())
+    return language.identified(docs.drop("lang").withColumn("held_out", held_out()), model).drop("text")
