@@ -164,6 +164,20 @@ def long_enough(series: DataFrame) -> bool:
     return not lagged.where(F.col("count") >= MIN_LAGGED_ROWS).isEmpty()
 
 
+def training_rows(series: DataFrame) -> DataFrame:
+    """Lagged months of the series that are long enough, in units of their scale, the first ones `is_train`."""
+    lagged = calendar_lag_features(with_scale(series)).withColumn("_n", F.count("*").over(whole_series()))
+    scaled = chrono_split(lagged.where(F.col("_n") >= MIN_LAGGED_ROWS).drop("_n"))
+    relative = {c: F.col(c) / F.col("scale") for c in LAGS}
+    return work_table(scaled.withColumns(relative).withColumn("label", F.col("y") / F.col("scale")))
+
+
+def holdout_metrics(rows: DataFrame, model) -> DataFrame:
+    """Errors of a model on the last months of `training_rows`, in each series' own unit."""
+    scored = model.transform(rows.where("NOT is_train"))
+    return forecast_metrics(scored.withColumn("yhat", F.col("prediction") * F.col("scale")))
+
+
 def train_boosted(
     series: DataFrame,
     rounds: int = ROUNDS,
@@ -178,12 +192,7 @@ def train_boosted(
     Metrics are on the last fifth, per series and in its own unit. It raises without a series that
     is long enough; see `long_enough`.
     """
-    lagged = calendar_lag_features(with_scale(series)).withColumn("_n", F.count("*").over(whole_series()))
-    scaled = chrono_split(lagged.where(F.col("_n") >= MIN_LAGGED_ROWS).drop("_n"))
-    relative = {c: F.col(c) / F.col("scale") for c in LAGS}
-    rows = work_table(
-        scaled.withColumns(relative).withColumn("label", F.col("y") / F.col("scale"))
-    )
+    rows = training_rows(series)
     trees = GBTRegressor(
         featuresCol="features", labelCol="label", predictionCol="prediction",
         maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=subsample,
@@ -192,10 +201,7 @@ def train_boosted(
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     train = assembler.transform(rows.where("is_train"))
     model = PipelineModel([assembler, trees.fit(train)])
-    scored = model.transform(rows.where("NOT is_train")).withColumn(
-        "yhat", F.col("prediction") * F.col("scale")
-    )
-    return Boosted(model, forecast_metrics(scored))
+    return Boosted(model, holdout_metrics(rows, model))
 
 
 def forecast_recursive(series: DataFrame, model: PipelineModel, periods: int = 3) -> DataFrame:

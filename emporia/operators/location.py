@@ -43,6 +43,11 @@ def money_sum(column: str) -> Column:
     return F.round(F.sum(column), 4)
 
 
+def exact_mean(column: str) -> Column:
+    """A mean whose sum is exact, so that it does not depend on the order of adding."""
+    return F.sum(F.col(column).cast("decimal(28,6)")).cast("double") / F.count(column)
+
+
 def category_region_revenue(fact: DataFrame) -> DataFrame:
     """The cells: Σ price per category and region."""
     return (
@@ -70,7 +75,7 @@ def location_means(cells: DataFrame) -> DataFrame:
     """(kind, key, mean_revenue): mean cell per region, per category and of all."""
     means = cells.groupingSets(
         [["region"], ["category"], []], "region", "category"
-    ).agg(F.avg("revenue").alias("mean_revenue"), F.grouping_id().alias("g"))
+    ).agg(exact_mean("revenue").alias("mean_revenue"), F.grouping_id().alias("g"))
     # grouping_id marks the columns left out: 1 keeps the region, 2 the category, 3 neither.
     return means.select(
         F.when(F.col("g") == 1, "region").when(F.col("g") == 2, "category").otherwise("global").alias("kind"),
@@ -81,15 +86,15 @@ def location_means(cells: DataFrame) -> DataFrame:
 
 def region_factor(cells: DataFrame) -> DataFrame:
     """Region mean over the mean of the region means."""
-    regions = cells.groupBy("region").agg(F.avg("revenue").alias("region_mean"))
-    overall = regions.agg(F.avg("region_mean")).scalar()
+    regions = cells.groupBy("region").agg(exact_mean("revenue").alias("region_mean"))
+    overall = regions.agg(exact_mean("region_mean")).scalar()
     factor = F.coalesce(F.try_divide(F.col("region_mean"), overall), F.lit(1.0))
     return regions.withColumn("factor", factor)
 
 
 def cell_features(cells: DataFrame) -> DataFrame:
-    regions = cells.groupBy("region").agg(F.avg("revenue").alias("region_mean"))
-    categories = cells.groupBy("category").agg(F.avg("revenue").alias("category_mean"))
+    regions = cells.groupBy("region").agg(exact_mean("revenue").alias("region_mean"))
+    categories = cells.groupBy("category").agg(exact_mean("revenue").alias("category_mean"))
     return cells.join(regions, "region").join(categories, "category")
 
 
@@ -161,8 +166,8 @@ def predict_region_revenue(
     without the cell is its mean × the region factor; an unknown category is the mean of all
     cells × the region factor. `cells` are read several times, so pass a stored table.
     """
-    category_means = cells.groupBy("category").agg(F.avg("revenue").alias("category_mean"))
-    everywhere = cells.agg(F.avg("revenue")).scalar()
+    category_means = cells.groupBy("category").agg(exact_mean("revenue").alias("category_mean"))
+    everywhere = cells.agg(exact_mean("revenue")).scalar()
     # The list of regions is as short as a country's map; each asked category is answered for all.
     regions = region_factor(cells).agg(
         F.collect_list(F.struct("region", "region_mean", "factor"))

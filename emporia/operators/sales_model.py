@@ -5,14 +5,13 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emporia.operators.splits import bucket, in_training
+from emporia.operators import validation
+from emporia.operators.splits import in_training
 from emporia.sources.store import work_table
 
 PLACE = ["category", "delegation", "locality"]
@@ -160,7 +159,7 @@ def sales_model_select(
     return train_sales_model(sales_features_v1(fact), kind, trees, rounds, seed)
 
 
-def cross_validate(
+def fold_scores(
     features: DataFrame,
     kind: str = "RandomForest",
     trees: int = TREES_V1,
@@ -168,23 +167,20 @@ def cross_validate(
     folds: int = FOLDS,
     seed: int = 42,
 ) -> DataFrame:
-    """Mean and spread of R² over the folds, in one row."""
+    """(fold, r2): every fold tested by a model of the other folds. A fold without rows has no row."""
     numbers = [c for c in ("month", "day_of_week") if c in features.columns]
-    fold = bucket([*PLACE, *numbers], seed, folds)
-    rows = work_table(features.select(*PLACE, *numbers, "revenue").withColumn("fold", fold))
-    n, spread = size_and_spread(rows)  # a fold leaves (folds - 1) / folds of the rows to train on
-    learner = regressor(kind, trees, rounds, seed, n * (folds - 1) / folds, spread)
-    pipeline = Pipeline(stages=[*encoder_stages(numbers), learner])
-    validator = CrossValidator(
-        estimator=pipeline,
-        estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=RegressionEvaluator(labelCol="revenue", metricName="r2"),
-        numFolds=folds,
-        foldCol="fold",
-    )
-    fitted = validator.fit(rows)
-    row = (folds, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0]))
-    return features.sparkSession.createDataFrame([row], "folds int, r2_mean double, r2_std double")
+    rows = validation.fold_rows(features, PLACE, numbers, folds, seed)
+    if kind == "Ridge":
+        return validation.ridge_folds(rows, PLACE, numbers, RIDGE_ALPHA, folds)
+    if kind == "GradientBoosting":  # rounds depend on each other: one model per fold
+        return validation.forest_folds(rows, PLACE, numbers, lambda n, part: regressor(kind, n, rounds, seed), 1, folds)
+    return validation.forest_folds(rows, PLACE, numbers, lambda n, part: regressor(kind, n, rounds, seed + part), trees, folds)
+
+
+def cross_validate(features: DataFrame, kind: str = "RandomForest", folds: int = FOLDS, **settings) -> DataFrame:
+    """Mean and spread of R² over the folds, in one row; `settings` are those of `fold_scores`."""
+    scores = fold_scores(features, kind, folds=folds, **settings)
+    return scores.agg(F.lit(folds).alias("folds"), F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std"))
 
 
 def predict_sales(requests: DataFrame, model: PipelineModel) -> DataFrame:

@@ -1,15 +1,14 @@
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from emporia.operators import forecast
 from emporia.operators.kpi import monthly_series
+from emporia.operators.trees import NodeModel, distance
 from emporia.plans.registry import r, register, tidy
 from emporia.plans.views import MONTHLY, SALES
 from emporia.sources.star import sales
-from emporia.sources.store import work_table
+from emporia.sources.store import versioned_model, work_table
 
 
 def product_series(spark, folder, value="revenue"):
@@ -132,60 +131,59 @@ def q_stock_advice(spark, folder):
     return tidy(forecast.stock_advice(sales(spark, folder, "product_name", "purchase_date", "quantity")), 2)
 
 
-@functools.cache
 def boosted_products(spark, folder):
-    """The stored series and their model, fitted once per session and folder."""
+    """The stored series, and their model and its metrics from the model store."""
     series = work_table(product_series(spark, folder))
-    return series, forecast.train_boosted(series)
-
-
-# What SQL can decide of a learned forecast: which months of which series it covers, and that it is not negative.
-
-
-def decided(forecasts):
-    return forecasts.withColumn("not_negative", F.col("yhat") >= 0).drop("yhat")
+    return series, *versioned_model(series, "boosted", lambda: tuple(forecast.train_boosted(series)), forecast.ROUNDS)
 
 
 def months_after(last: str, periods: int, key: str = "") -> str:
-    return f"""SELECT {key}CAST(last_ds + to_months(CAST(step AS INTEGER)) AS DATE) AS ds, true AS not_negative
+    return f"""SELECT {key}CAST(last_ds + to_months(CAST(step AS INTEGER)) AS DATE) AS ds, 0.0::DOUBLE AS distance
     FROM (SELECT {key}last_ds, unnest(range(1, {periods} + 1)) AS step FROM ({last}))"""
 
 
-@register(
-    "forecast_boosted",
-    f"""WITH {SALES}, {MONTHLY}, lagged AS (SELECT series_key, count(*) - 3 AS n FROM series GROUP BY 1)
-    SELECT series_key, n - CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT) AS row_count, true AS consistent
-    FROM lagged WHERE n >= 10""",
-)
+@register("forecast_boosted")
 def q_forecast_boosted(spark, folder):
-    """Hold-out metrics of the boosted trees for every product: months tested, and whether the figures agree."""
-    metrics = boosted_products(spark, folder)[1].metrics
-    agree = (F.col("mae") >= 0) & (F.col("rmse") * (1 + 1e-9) >= F.col("mae")) & (F.coalesce("r2", F.lit(0.0)) <= 1)
-    return metrics.select("series_key", "row_count", agree.alias("consistent"))
+    """Hold-out metrics of the boosted trees for every product."""
+    return boosted_products(spark, folder)[2]
 
 
 @register(
-    "forecast_recursive",
-    f"WITH {SALES}, {MONTHLY} {months_after('SELECT series_key, max(ds) AS last_ds FROM series GROUP BY 1', 3, 'series_key, ')}",
+    "forecast_boosted_residuals",
+    f"""WITH {SALES}, {MONTHLY}, lagged AS (SELECT series_key, count(*) - 3 AS n FROM series GROUP BY 1)
+    SELECT series_key, n - CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT) AS row_count, 0.0::DOUBLE AS mae_distance,
+      0.0::DOUBLE AS rmse_distance FROM lagged WHERE n >= 10""",
 )
+def q_forecast_boosted_residuals(spark, folder):
+    """How far the hold-out errors are from those of the node table's predictions."""
+    series, model, metrics = boosted_products(spark, folder)
+    again = work_table(forecast.holdout_metrics(forecast.training_rows(series), NodeModel(spark, model, "sum")))
+    off = {c: distance(metrics, again, ["series_key"], c).withColumnRenamed("distance", f"{c}_distance") for c in ("mae", "rmse")}
+    return again.select("series_key", "row_count").join(off["mae"], "series_key").join(off["rmse"], "series_key")
+
+
+@register("forecast_recursive")
 def q_forecast_recursive(spark, folder):
-    series, boosted = boosted_products(spark, folder)
-    return decided(forecast.forecast_recursive(series, boosted.model, 3))
+    series, model, _ = boosted_products(spark, folder)
+    return forecast.forecast_recursive(series, model, 3)
 
 
-LAST_MONTH = "SELECT date_trunc('month', max(purchase_date)) AS last_ds FROM sales"
+@register(
+    "forecast_recursive_residuals",
+    f"WITH {SALES}, {MONTHLY} {months_after('SELECT series_key, max(ds) AS last_ds FROM series GROUP BY 1', 3, 'series_key, ')}",
+)
+def q_forecast_recursive_residuals(spark, folder):
+    """How far each forecast is from one whose steps are scored by the node table."""
+    series, model, _ = boosted_products(spark, folder)
+    again = forecast.forecast_recursive(series, NodeModel(spark, model, "sum"), 3)
+    return distance(forecast.forecast_recursive(series, model, 3), again, ["series_key", "ds"], "yhat")
 
 
-@register("forecast_total", f"WITH {SALES} {months_after(LAST_MONTH, 6)}")
+@register("forecast_total")
 def q_forecast_total(spark, folder):
-    found = forecast.forecast_total(sales(spark, folder, "purchase_date", "revenue"))
-    return decided(found.where("error IS NULL").drop("series_key", "error"))
+    return forecast.forecast_total(sales(spark, folder, "purchase_date", "revenue"))
 
 
-@register(
-    "forecast_product",
-    f"WITH {SALES} {months_after(LAST_MONTH + chr(10) + 'WHERE contains(lower(product_name), ' + repr('gizmo') + ')', 3)}",
-)
+@register("forecast_product")
 def q_forecast_product(spark, folder):
-    fact = sales(spark, folder, "product_name", "purchase_date", "revenue")
-    return decided(forecast.forecast_product(fact, "gizmo").where("error IS NULL").drop("error"))
+    return forecast.forecast_product(sales(spark, folder, "product_name", "purchase_date", "revenue"), "gizmo")

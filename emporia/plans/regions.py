@@ -1,18 +1,27 @@
 from __future__ import annotations
 
 import functools
-import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emporia.functions.numbers import py_round
+
 from emporia.operators import customers, kpi, location, sales_model
+from emporia.operators.splits import in_training
+from emporia.operators.trees import NodeModel, distance, importances_by_nodes, node_table
 from emporia.plans.registry import r, register, tidy
 from emporia.plans.views import SALES
 from emporia.sources.star import sales, table
-from emporia.sources.store import load_or_train, shared_dir, work_table
+from emporia.sources.store import load_model, save_model, scratch_path, versioned_model, work_table
 
 PLACE_COLUMNS = ["category", "delegation", "locality", "purchase_date", "total_price"]
 
+def mean(column: str) -> str:
+    """The mean from an exact sum."""
+    return f"(CAST(sum(CAST({column} AS DECIMAL(28, 6))) AS DOUBLE) / count({column}))"
+
+
 CELLS = """cells AS (
   SELECT category, delegation AS region, round(sum(total_price), 4) AS revenue FROM sales
   WHERE category IS NOT NULL AND delegation IS NOT NULL AND total_price IS NOT NULL GROUP BY 1, 2
@@ -34,17 +43,17 @@ def q_cells(spark, folder):
 @register(
     "location_means",
     f"""WITH {SALES}, {CELLS}
-    SELECT 'region' AS kind, region AS key, {r('avg(revenue)')} AS mean_revenue FROM cells GROUP BY 2
-    UNION ALL SELECT 'category', category, {r('avg(revenue)')} FROM cells GROUP BY 2
-    UNION ALL SELECT 'global', NULL, {r('avg(revenue)')} FROM cells""",
+    SELECT 'region' AS kind, region AS key, {r(mean('revenue'))} AS mean_revenue FROM cells GROUP BY 2
+    UNION ALL SELECT 'category', category, {r(mean('revenue'))} FROM cells GROUP BY 2
+    UNION ALL SELECT 'global', NULL, {r(mean('revenue'))} FROM cells""",
 )
 def q_location_means(spark, folder):
     return tidy(location.location_means(cells(spark, folder)))
 
 
-FACTORS = """regions AS (SELECT region, avg(revenue) AS region_mean FROM cells GROUP BY 1
+FACTORS = f"""regions AS (SELECT region, {mean('revenue')} AS region_mean FROM cells GROUP BY 1
 ), factors AS (
-  SELECT region, region_mean, region_mean / (SELECT avg(region_mean) FROM regions) AS factor FROM regions
+  SELECT region, region_mean, region_mean / (SELECT {mean('region_mean')} FROM regions) AS factor FROM regions
 )"""
 
 
@@ -61,11 +70,12 @@ def q_region_factor(spark, folder):
     "predict_region_revenue",
     f"""WITH {SALES}, {CELLS}, {FACTORS}, asked AS (
       SELECT DISTINCT unnest([p_type, p_brand]) AS category FROM part
-    ), means AS (SELECT category, avg(revenue) AS category_mean FROM cells GROUP BY 1)
+    ), means AS (SELECT category, {mean('revenue')} AS category_mean FROM cells GROUP BY 1)
     SELECT a.category, f.region, {r('''CASE WHEN c.revenue IS NOT NULL THEN c.revenue
       WHEN category_mean IS NOT NULL THEN category_mean * factor
-      ELSE (SELECT avg(revenue) FROM cells) * factor END''', 2)} AS predicted, category_mean IS NOT NULL AS is_known
-    FROM asked a CROSS JOIN factors f LEFT JOIN cells c ON c.category = a.category AND c.region = f.region
+      ELSE everywhere * factor END''', 2)} AS predicted, category_mean IS NOT NULL AS is_known
+    FROM asked a CROSS JOIN factors f CROSS JOIN (SELECT {mean('revenue')} AS everywhere FROM cells) LEFT JOIN cells c
+      ON c.category = a.category AND c.region = f.region
     LEFT JOIN means m ON m.category = a.category""",
 )
 def q_predict_region_revenue(spark, folder):
@@ -143,13 +153,13 @@ def q_filter_region_stats(spark, folder):
 @register(
     "rank_regions",
     f"""WITH {SALES}, {CELLS}, {FACTORS}, {REQUESTS}, {REGION_STATS},
-    means AS (SELECT category, avg(revenue) AS category_mean FROM cells GROUP BY 1), valued AS (
+    means AS (SELECT category, {mean('revenue')} AS category_mean FROM cells GROUP BY 1), valued AS (
       SELECT q.category, q.brand, q.product_name, q.top_n, f.region, category_mean IS NOT NULL AS is_known,
         coalesce(t.missing = '', false) AS filter_applied, coalesce(t.missing, '') AS missing,
         CASE WHEN t.missing = '' AND coalesce(s.revenue, 0) <> 0 THEN s.revenue
           ELSE CASE WHEN t.missing = '' THEN 0.1 ELSE 1.0 END * CASE WHEN c.revenue IS NOT NULL THEN c.revenue
             WHEN category_mean IS NOT NULL THEN category_mean * factor
-            ELSE (SELECT avg(revenue) FROM cells) * factor END END AS value
+            ELSE (SELECT {mean('revenue')} FROM cells) * factor END END AS value
       FROM requests q CROSS JOIN factors f
       LEFT JOIN cells c ON c.category = q.category AND c.region = f.region
       LEFT JOIN means m ON m.category = q.category
@@ -170,29 +180,45 @@ def q_rank_regions(spark, folder):
     return location.rank_regions(detail, location_requests(spark, folder))
 
 
-@register("location_model", f"WITH {SALES}, {CELLS} SELECT category, region, true AS is_known, true AS is_blend FROM cells")
-def q_location_model(spark, folder):
-    """Known cells as 0.6 observed + 0.4 model: what is left of a prediction is a mean of observed revenues."""
+def fitted_location_model(spark, folder):
     known = work_table(cells(spark, folder))
-    model = location.train_location_model(known).model
-    found = location.predict_region_revenue(known, known, model)
-    bounds = known.agg(F.struct(F.min("revenue").alias("low"), F.max("revenue").alias("high"))).scalar()
-    rest = (F.col("predicted") - location.OBSERVED_WEIGHT * F.col("revenue")) / location.MODEL_WEIGHT
-    near = 1e-6 * F.abs("revenue") + 1e-6
-    blend = rest.between(bounds["low"] - near, bounds["high"] + near)
-    return found.join(known, ["category", "region"]).select("category", "region", "is_known", blend.alias("is_blend"))
+
+    def train():
+        made = location.train_location_model(known)
+        return made.model, made.metrics
+
+    return known, *versioned_model(known, "location", train)
+
+
+@register("location_model")
+def q_location_model(spark, folder):
+    """Known cells as 0.6 observed + 0.4 model."""
+    known, model, _ = fitted_location_model(spark, folder)
+    return tidy(location.predict_region_revenue(known, known, model), 2)
+
+
+@register(
+    "location_model_residuals",
+    f"WITH {SALES}, {CELLS} SELECT category, region, 0.0::DOUBLE AS distance FROM cells",
+)
+def q_location_model_residuals(spark, folder):
+    """How far the predictions are from those of the node table, scored by joins, for every known cell."""
+    known, model, _ = fitted_location_model(spark, folder)
+    again = location.predict_region_revenue(known, known, NodeModel(spark, model, "mean"))
+    own = location.predict_region_revenue(known, known, model)
+    return distance(own, again, ["category", "region"], "predicted").join(known, ["category", "region"], "left_semi")
 
 
 @register("location_metrics")
 def q_location_metrics(spark, folder):
-    return location.train_location_model(work_table(cells(spark, folder))).metrics
+    return fitted_location_model(spark, folder)[2]
 
 
 @register("rank_regions_with_model")
 def q_rank_regions_with_model(spark, folder):
     detail = location.region_detail(sales(spark, folder, *REQUEST_COLUMNS))
     known = location.detail_cells(detail)
-    model = location.train_location_model(known).model
+    model = versioned_model(known, "location-detail", lambda: location.train_location_model(known)[:2])[0]
     return location.rank_regions(detail, location_requests(spark, folder), known, model)
 
 
@@ -236,33 +262,69 @@ def q_regression_metrics(spark, folder):
     return out.withColumns({c: location.py_round(F.col(c), d) for c, d in digits.items()})
 
 
-@functools.cache
 def fitted_sales_model(spark, folder):
-    """Fitted once per session and folder."""
-    return sales_model.sales_model_v2(sales(spark, folder, *PLACE_COLUMNS))
+    """The sales model of these tables and its metrics, from the model store if it has them."""
+    rows = work_table(sales_model.sales_features_v2(sales(spark, folder, *PLACE_COLUMNS)))
+
+    def train():
+        made = sales_model.train_sales_model(rows, "RandomForest", sales_model.TREES_V2)
+        return made.model, made.metrics
+
+    return rows, *versioned_model(rows, "sales", train, sales_model.TREES_V2)
 
 
 V2_ROWS = "SELECT DISTINCT category, delegation, locality, month(purchase_date) AS month FROM sales"
 
 
-@register(
-    "sales_model_v2",
-    f"""WITH {SALES} SELECT CAST(2 AS BIGINT) AS parts, count(*) AS row_count, true AS consistent FROM ({V2_ROWS})""",
-)
+@register("sales_model_v2")
 def q_sales_model_v2(spark, folder):
-    """Rows scored in both parts, and whether the metrics agree."""
-    agree = (F.col("mae") >= 0) & (F.col("rmse") * (1 + 1e-9) >= F.col("mae")) & (F.col("r2") <= 1)
-    return fitted_sales_model(spark, folder).metrics.agg(
-        F.count("*").alias("parts"), F.sum("row_count").alias("row_count"), F.bool_and(agree).alias("consistent")
-    )
+    """Metrics of the training and the test part."""
+    return tidy(fitted_sales_model(spark, folder)[2])
 
 
-@register("feature_importance", "SELECT 1.0::DOUBLE AS total, true AS not_negative")
+@register(
+    "sales_model_v2_residuals",
+    f"""WITH {SALES}, rows AS ({V2_ROWS}), known AS (
+      SELECT category, delegation, locality, month(purchase_date) AS month, sum(total_price) AS revenue FROM sales GROUP BY ALL)
+    SELECT count(*) AS row_count, {r('sum(revenue)', 0)} AS revenue, 0.0::DOUBLE AS prediction_distance,
+      0.0::DOUBLE AS metric_distance FROM known""",
+)
+def q_sales_model_v2_residuals(spark, folder):
+    """Rows and revenue of both parts, and how far predictions and metrics are from a recomputation by nodes."""
+    rows, model, metrics = fitted_sales_model(spark, folder)
+    keys = [*sales_model.PLACE, "month"]
+    again = work_table(NodeModel(spark, model, "mean").transform(rows))
+    apart = distance(model.transform(rows), again, keys, "prediction").agg(F.max("distance").alias("prediction_distance"))
+    part = F.when(in_training(keys), "train").otherwise("test")
+    recomputed = sales_model.regression_metrics(again.withColumn("part", part), keys=["part"])
+    off = [distance(metrics, recomputed, ["part"], c) for c in ("row_count", "r2", "mae", "rmse", "mape")]
+    worst = functools.reduce(DataFrame.unionByName, off).agg(F.max(F.coalesce("distance", F.lit(9e9))).alias("metric_distance"))
+    totals = rows.agg(F.count("*").alias("row_count"), py_round(F.sum("revenue"), 0).alias("revenue"))
+    return totals.withColumns({"prediction_distance": apart.scalar(), "metric_distance": worst.scalar()})
+
+
+@register("feature_importance")
 def q_feature_importance(spark, folder):
-    shares = fitted_sales_model(spark, folder).importance
-    return shares.agg(
-        F.round(F.sum("importance"), 6).alias("total"), F.bool_and(F.col("importance") >= 0).alias("not_negative")
-    )
+    """(feature, importance), a row for each."""
+    rows, model, _ = fitted_sales_model(spark, folder)
+    return sales_model.feature_importance(model, model.transform(rows.limit(0)))
+
+
+@register(
+    "feature_importance_residuals",
+    f"""WITH {SALES}, v AS (SELECT unnest(['category', 'delegation', 'locality']) AS c, unnest([category, delegation, locality]) AS x FROM sales)
+    SELECT DISTINCT c || '_vec_' || x AS feature, 0.0::DOUBLE AS distance FROM v UNION ALL SELECT 'scaled_0', 0.0""",
+)
+def q_feature_importance_residuals(spark, folder):
+    """How far every feature's importance is from the gains of the nodes that split on it."""
+    rows, model, _ = fitted_sales_model(spark, folder)
+    scored = model.transform(rows.limit(0))
+    attributes = scored.schema["features"].metadata["ml_attr"]["attrs"]
+    names = [(a["idx"], a["name"]) for group in attributes.values() for a in group]
+    named = spark.createDataFrame(names, "feature_number int, feature string")
+    gains = importances_by_nodes(node_table(spark, model)).withColumnRenamed("feature", "feature_number")
+    again = named.join(gains, "feature_number", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+    return distance(sales_model.feature_importance(model, scored), again, ["feature"], "importance")
 
 
 @register("sales_model_select")
@@ -303,23 +365,42 @@ ASKED_SALES = """asked AS (
 )"""
 
 
-@register("predict_sales", f"WITH {SALES}, {ASKED_SALES} SELECT *, true AS not_negative FROM asked")
+PREDICTED = ["category", "delegation", "locality", "month", "period_type"]
+TOTALLED = ["delegation", "locality", "month", "period_type"]
+
+
+@register("predict_sales")
 def q_predict_sales(spark, folder):
-    """What is predicted for which request; trees over revenues are not negative."""
-    model = fitted_sales_model(spark, folder).model
-    found = sales_model.predict_sales(sales_requests(spark, folder), model)
-    return found.withColumn("not_negative", F.col("predicted_revenue") >= 0).drop("by_month", "predicted_revenue")
+    return sales_model.predict_sales(sales_requests(spark, folder), fitted_sales_model(spark, folder)[1])
+
+
+@register("predict_sales_residuals", f"WITH {SALES}, {ASKED_SALES} SELECT *, 0.0::DOUBLE AS distance FROM asked")
+def q_predict_sales_residuals(spark, folder):
+    """How far each prediction is from that of the node table, scored by joins."""
+    model, asked = fitted_sales_model(spark, folder)[1], work_table(sales_requests(spark, folder))
+    again = sales_model.predict_sales(asked, NodeModel(spark, model, "mean"))
+    return distance(sales_model.predict_sales(asked, model), again, PREDICTED, "predicted_revenue")
+
+
+@register("total_prediction")
+def q_total_prediction(spark, folder):
+    found = sales_model.predict_sales(sales_requests(spark, folder), fitted_sales_model(spark, folder)[1])
+    return sales_model.total_prediction(found)
 
 
 @register(
-    "total_prediction",
+    "total_prediction_residuals",
     f"""WITH {SALES}, {ASKED_SALES} SELECT delegation, locality, month, period_type, count(*) AS category_count,
-    true AS not_negative FROM asked GROUP BY 1, 2, 3, 4""",
+    0.0::DOUBLE AS distance FROM asked GROUP BY 1, 2, 3, 4""",
 )
-def q_total_prediction(spark, folder):
-    model = fitted_sales_model(spark, folder).model
-    found = sales_model.total_prediction(sales_model.predict_sales(sales_requests(spark, folder), model))
-    return found.withColumn("not_negative", F.col("total_revenue") >= 0).drop("total_revenue")
+def q_total_prediction_residuals(spark, folder):
+    """How far each total is from the sum over the node table's predictions."""
+    model, asked = fitted_sales_model(spark, folder)[1], work_table(sales_requests(spark, folder))
+    found = work_table(sales_model.total_prediction(sales_model.predict_sales(asked, model)))
+    again = sales_model.total_prediction(sales_model.predict_sales(asked, NodeModel(spark, model, "mean")))
+    counts = found.select(*[F.col(k).alias(f"_{k}") for k in TOTALLED], "category_count")
+    apart = distance(found, again, TOTALLED, "total_revenue")
+    return apart.join(counts, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in TOTALLED]).select(*apart.columns, "category_count")
 
 
 @register(
@@ -327,17 +408,12 @@ def q_total_prediction(spark, folder):
     f"WITH {SALES} SELECT count(*) AS predictions, CAST(0 AS BIGINT) AS differences FROM ({V2_ROWS})",
 )
 def q_save_and_load_model(spark, folder):
-    """Predictions of a model that was trained, saved and read back, and how many differ from its own."""
-    path = f"{shared_dir(spark).rstrip('/')}/emporia/model-{uuid.uuid4().hex}"
-
-    def train():
-        made = fitted_sales_model(spark, folder)
-        return made.model, made.metrics
-
-    load_or_train(spark, path, train)
-    loaded = load_or_train(spark, path, train)[0]
-    rows = work_table(sales_model.sales_features_v2(sales(spark, folder, *PLACE_COLUMNS)))
-    own = fitted_sales_model(spark, folder).model.transform(rows).select(*sales_model.PLACE, "month", "prediction")
+    """Predictions of a model that was saved and read back, and how many differ from its own."""
+    rows, model, metrics = fitted_sales_model(spark, folder)
+    path = scratch_path(spark)
+    save_model(model, metrics, path)
+    loaded = load_model(spark, path)[0]
+    own = model.transform(rows).select(*sales_model.PLACE, "month", "prediction")
     again = loaded.transform(rows).select(*sales_model.PLACE, "month", F.col("prediction").alias("read_back"))
     differs = ~F.col("prediction").eqNullSafe(F.col("read_back"))
     return own.join(again, [*sales_model.PLACE, "month"]).agg(
@@ -349,28 +425,54 @@ def features(spark, folder):
     return kpi.customer_features(sales(spark, folder, "client_id", "total_price", "quantity"))
 
 
+def fitted_classifier(spark, folder):
+    rows = work_table(features(spark, folder))
+
+    def train():
+        made = customers.high_value_classifier(rows)
+        return made.model, made.metrics
+
+    return versioned_model(rows, "high-value", train)
+
+
 @register("high_value_classifier")
 def q_high_value_classifier(spark, folder):
-    return customers.high_value_classifier(features(spark, folder)).metrics
+    return fitted_classifier(spark, folder)[1]
+
+
+def value_requests(spark, folder):
+    """Requests made from every order: its price and, for some, no quantity."""
+    quantity = F.when(F.col("o_custkey") % 9 == 0, 0).otherwise(F.col("o_custkey") % 9 * 10).cast("int")
+    return table(spark, folder, "orders").select(F.col("o_totalprice").alias("total"), quantity.alias("qty"))
+
+
+@register("predict_high_value")
+def q_predict_high_value(spark, folder):
+    return customers.predict_high_value(value_requests(spark, folder), fitted_classifier(spark, folder)[0])
 
 
 @register(
-    "predict_high_value",
-    """SELECT o_totalprice AS total, CAST(o_custkey % 9 * 10 AS INTEGER) AS qty, true AS is_class FROM orders""",
+    "predict_high_value_residuals",
+    """SELECT DISTINCT o_totalprice AS total, CAST(o_custkey % 9 * 10 AS INTEGER) AS qty, 0.0::DOUBLE AS distance FROM orders""",
 )
-def q_predict_high_value(spark, folder):
-    """Requests made from every order: its price and, for some, no quantity."""
-    made = customers.high_value_classifier(features(spark, folder))
-    requests = table(spark, folder, "orders").select(
-        F.col("o_totalprice").alias("total"),
-        F.when(F.col("o_custkey") % 9 == 0, 0).otherwise(F.col("o_custkey") % 9 * 10).cast("int").alias("qty"),
-    )
-    found = customers.predict_high_value(requests, made.model)
-    return found.withColumn("is_class", F.col("prediction").isin(0, 1)).drop("prediction")
+def q_predict_high_value_residuals(spark, folder):
+    """How far each predicted class is from the vote of the node table's leaves."""
+    model, asked = fitted_classifier(spark, folder)[0], work_table(value_requests(spark, folder).distinct())
+    again = customers.predict_high_value(asked, NodeModel(spark, model, "vote"))
+    return distance(customers.predict_high_value(asked, model), again, ["total", "qty"], "prediction")
 
 
-@register("segment_customers", f"WITH {SALES} SELECT DISTINCT client_id, true AS is_cluster FROM sales")
+@register("segment_customers")
 def q_segment_customers(spark, folder):
-    """Every client once, in one of the clusters."""
-    found = customers.segment_customers(features(spark, folder))
-    return found.withColumn("is_cluster", F.col("cluster").between(0, customers.SEGMENTS - 1)).drop("cluster")
+    return customers.segment_customers(features(spark, folder))
+
+
+@register(
+    "segment_customers_residuals",
+    f"WITH {SALES} SELECT DISTINCT client_id, 0.0::DOUBLE AS excess, 0.0::DOUBLE AS drift FROM sales",
+)
+def q_segment_customers_residuals(spark, folder):
+    """Every client: how much nearer another centre is, and how far its own is off the mean of the cluster."""
+    rows = work_table(customers.usable(features(spark, folder)).select("client_id", *customers.FEATURES))
+    residuals = customers.segment_residuals(rows, work_table(customers.segment_customers(rows)))
+    return residuals.withColumns({c: F.abs(F.round(c, 6)) for c in ("excess", "drift")})

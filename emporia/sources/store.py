@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -112,3 +113,32 @@ def load_or_train(spark: SparkSession, path: str, train) -> tuple[PipelineModel,
     if not model_exists(spark, path):
         save_model(*train(), path)
     return load_model(spark, path)
+
+
+def fingerprint(rows: DataFrame, *settings) -> str:
+    """A name for the contents of a table, whatever the order of its rows, and for settings.
+
+    Numbers count to six decimals, so that sums added in another order are the same.
+    """
+    columns = [F.round(c, 6) if kind == "double" else F.col(c) for c, kind in sorted(rows.dtypes)]
+    held = rows.select(F.xxhash64(*columns).alias("h"))
+    n, mixed, total = held.agg(F.count("*"), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+    return hashlib.sha256(repr((sorted(rows.dtypes), n, mixed, total, settings)).encode()).hexdigest()[:24]
+
+
+def versioned_model(rows: DataFrame, name: str, train, *settings) -> tuple[PipelineModel, DataFrame | None]:
+    """The model that `train() -> (model, metrics)` makes of `rows`, from the store if it has that version.
+
+    A version is named by the fingerprint of the training rows and the settings: other data give another
+    model. It is written aside and appears by one rename, so a reader never sees half of it.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/emporia/models/{name}-{fingerprint(rows, *settings)}"
+    if not model_exists(spark, path):
+        aside = f"{path}.{uuid.uuid4().hex}"
+        save_model(*train(), aside)
+        source, target = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (aside, path)]
+        files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if files.exists(target) or not files.rename(source, target):
+            files.delete(source, True)  # another session was first
+    return load_model(spark, path)
