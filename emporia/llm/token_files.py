@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,13 +21,16 @@ LIMIT = 16  # longest code in bits; the decoding table has 2^16 entries
 BLOCK_IDS = 1 << 18  # ids after which a block is closed at the next document's end
 EVERY = 128  # ids between two checkpoints
 CACHED_PIECES = 1_000_000
-SLICE = 512  # documents whose pieces are held at once
+SLICE = 2048  # documents whose pieces are held at once
 JOINED = 512  # unseen pieces encoded in one call
 
-# Texts with other white space than this, or with the special token, are encoded in one piece.
+# Texts with other white space than this, with the special token or with the mark are encoded in one piece.
 PLAIN = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\|endoftext\|>")
+ODD = re.compile(r"[\x03\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\|endoftext\|>")
+ODD_ASCII = ("\x03", "\x1c", "\x1d", "\x1e", "\x1f", "<|endoftext|>")
 RUNS = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
+INNER = ("\n\n", " \n", "\t", "\r", "\x0b", "\x0c")  # beside these a line feed may be part of a longer token
+ALONE = "\x03"  # begins the name of a piece that no space stands before
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -35,6 +39,29 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+class Pieces(dict):
+    """Ids of pieces in two generations: what was asked for of late, and what had been before.
+
+    Beyond half of CACHED_PIECES the younger generation becomes the older one, so that frequent pieces stay.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, name: str) -> bytes:
+        self[name] = ids = self.older[name]
+        return ids
+
+    def holds(self, name: str) -> bool:
+        return name in self or name in self.older
+
+    def make_room(self) -> None:
+        if len(self) > CACHED_PIECES // 2:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, by the tokenizers library.
 
@@ -52,18 +79,27 @@ class Encoder:
         self.bytes_of = np.zeros(self.size, np.int64)  # a character of a byte-level token is a byte
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
-        self.spaced: dict[str, bytes] = {}  # by piece, encoded with a space before it
-        self.alone: dict[str, bytes] = {}
+        self.known = Pieces()
+        self.stops = dict(zip(".,", self.whole([".", ","])))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode pieces that follow a space, many in one text, cut again where their bytes end."""
-        odd = [p for p in pieces if not p or p[0].isspace() or p[-1].isspace()]
-        self.spaced.update(zip(odd, self.whole([" " + p for p in odd])))
-        plain = list(pieces.difference(odd))
+    def learn(self, names: list[str]) -> None:
+        """Encode pieces, many in one text, cut again where their bytes end.
+
+        A full stop or comma after a letter or digit is a token of its own, so such a piece is put
+        together from the piece without it.
+        """
+        known = self.known
+        stopped = [n for n in names if n[-1:] in (".", ",") and n[-2:-1].isalnum()]
+        pieces = set(names).difference(stopped)
+        pieces.update(n for n in (s[:-1] for s in stopped) if not known.holds(n))
+        odd = [n for n in pieces if n[:1] == ALONE or not n or n[0].isspace() or n[-1].isspace()]
+        pieces.difference_update(odd)
+        known.update(zip(odd, self.whole([n[1:] if n[:1] == ALONE else f" {n}" for n in odd])))
+        plain = list(pieces)
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         found = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
         width = self.kind.itemsize
@@ -73,48 +109,69 @@ class Encoder:
             reached = np.cumsum(self.bytes_of[ids])
             cuts = np.searchsorted(reached, ends) + 1
             if not np.array_equal(reached[cuts - 1], ends):
-                self.spaced.update(zip(group, self.whole([" " + p for p in group])))
+                known.update(zip(group, self.whole([f" {p}" for p in group])))
                 continue
             raw, places = ids.tobytes(), [0, *(cuts * width).tolist()]
-            for piece, a, b in zip(group, places, places[1:]):
-                self.spaced[piece] = raw[a:b]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        plans, fresh, first, odd = [], set(), set(), []
-        if len(self.spaced) + len(self.alone) > CACHED_PIECES:
-            self.spaced.clear()
-            self.alone.clear()
-        for text in texts:
+            known.update(zip(group, [raw[a:b] for a, b in zip(places, places[1:])]))
+        for name in stopped:
+            known[name] = known[name[:-1]] + self.stops[name[-1]]
+
+    def pieces(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray, list[int], dict[str, bytes]]:
+        """Names of all pieces of the texts, how many each text has, in which order the texts stand, and the
+        ids of the texts that are not cut."""
+        simple, order, others, sizes, whole = [], [], [], [], []
+        for i, text in enumerate(texts):
             if not text:
-                plans.append(None)
-            elif ODD.search(text):
-                plans.append(len(odd))
-                odd.append(text)
+                others.append((i, []))
+            elif any(c in text for c in ODD_ASCII) if text.isascii() else ODD.search(text):
+                others.append((i, [f"{ALONE}{ALONE}{text}"]))
+                whole.append(text)
             elif any(r in text for r in RUNS):
-                pieces = PLAIN.findall(text)
-                first.update(pieces)
-                plans.append((pieces, []))
-            else:
-                head, *pieces = text.split(" ")
-                first.add(head)
-                fresh.update(pieces)
-                plans.append(([head], pieces))
-        self.learn(fresh.difference(self.spaced))
-        unseen = list(first.difference(self.alone))
-        self.alone.update(zip(unseen, self.whole(unseen)))
-        wholes = self.whole(odd)
-        results = []
-        for plan in plans:
-            if plan is None:
-                results.append(b"")
-            elif isinstance(plan, int):
-                results.append(wholes[plan])
+                others.append((i, [f"{ALONE}{p}" for p in PLAIN.findall(text)]))
             else:
-                own, spaced = plan
-                parts = list(map(self.alone.__getitem__, own))
-                parts.extend(map(self.spaced.__getitem__, spaced))
-                results.append(b"".join(parts))
-        return results
+                order.append(i)
+                if "\n" in text and text[-1] != "\n" and text[0] != "\n" and not any(r in text for r in INNER):
+                    text = text.replace("\n", f" {ALONE}\n {ALONE}")
+                simple.append(f"{ALONE}{text}")
+        cut = pc.split_pattern(pa.array(simple, pa.large_string()), " ")
+        names = [cut.flatten(), pa.array([p for _, parts in others for p in parts], pa.large_string())]
+        sizes = np.concatenate([np.diff(cut.offsets.to_numpy()), np.array([len(parts) for _, parts in others], np.int64)])
+        whole_ids = dict(zip((f"{ALONE}{ALONE}{t}" for t in whole), self.whole(whole)))
+        return pa.concat_arrays(names), sizes.astype(np.int64), order + [i for i, _ in others], whole_ids
+
+    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each followed by `end` if there is one, and their sizes.
+
+        Pieces are told apart once for all texts; ids are looked up for the distinct ones only.
+        """
+        names, counts, order, whole = self.pieces(texts)
+        coded = names.dictionary_encode()
+        distinct, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self.known.make_room()
+        known, older = self.known, self.known.older
+        self.learn([n for n in distinct if n not in known and n not in older and n not in whole])
+        raw = [whole[n] if n in whole else self.known[n] for n in distinct] if whole else list(map(self.known.__getitem__, distinct))
+        ids = np.frombuffer(b"".join(raw), self.kind)
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // self.kind.itemsize
+        each = lengths[index]
+        begins = (np.cumsum(lengths) - lengths)[index]
+        stops = np.cumsum(each)
+        flat = ids[np.repeat(begins - stops + each, each) + np.arange(stops[-1] if len(stops) else 0)]
+        ends = np.concatenate(([0], stops))[np.cumsum(counts)]
+        sizes = np.diff(ends, prepend=0)
+        if order != list(range(len(order))):
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            spans = list(zip((ends - sizes).tolist(), ends.tolist()))
+            flat = np.concatenate([flat[:0], *[flat[slice(*spans[p])] for p in place]])
+            sizes = sizes[place]
+        if end is None:
+            return flat, sizes
+        closed = np.full(len(flat) + len(sizes), end, self.kind)
+        inner = np.ones(len(closed), bool)
+        inner[np.cumsum(sizes + 1) - 1] = False
+        closed[inner] = flat
+        return closed, sizes + 1
 
 
 @functools.cache
@@ -138,28 +195,29 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
         .select("doc_id", "text")
     )
 
-    def rows(part: int, docs: pa.Array, starts: np.ndarray, sizes: np.ndarray, ids: list, counts: list) -> pa.RecordBatch:
+    def rows(part: int, docs: pa.Array, starts: np.ndarray, sizes: np.ndarray, ids: pa.Array, counts: list) -> pa.RecordBatch:
         columns = [
             pa.array(np.full(len(ids), part, np.int32)),
             docs.cast(pa.int64()),
             pa.array(starts, pa.int64()),
             pa.array(sizes, pa.int64()),
-            pa.array(ids, pa.binary()),
+            ids,
             pa.array(counts, pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "start", "n_tokens", "ids", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, at = encoder(path), TaskContext.get().partitionId(), 0
-        end, counts = np.array([END_ID], coder.kind).tobytes(), np.zeros(coder.size, np.int64)
+        counts = np.zeros(coder.size, np.int64)
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            ids = [e + end for e in coder.encode(batch.column("text").to_pylist())]
-            sizes = np.array([len(i) for i in ids], np.int64) // coder.kind.itemsize
+            ids, sizes = coder.encode(batch.column("text").to_pylist(), END_ID)
             stops = at + np.cumsum(sizes)
-            counts += np.bincount(np.frombuffer(b"".join(ids), coder.kind), minlength=coder.size)
-            yield rows(part, batch.column("doc_id"), stops - sizes, sizes, ids, [None] * len(ids))
+            counts += np.bincount(ids, minlength=coder.size)
+            ends = np.concatenate(([0], np.cumsum(sizes))) * coder.kind.itemsize
+            held = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            yield rows(part, batch.column("doc_id"), stops - sizes, sizes, held.cast(pa.binary()), [None] * len(sizes))
             at = int(stops[-1])
-        yield rows(part, pa.nulls(1, pa.int64()), np.array([at]), np.array([0]), [b""], [counts.tobytes()])
+        yield rows(part, pa.nulls(1, pa.int64()), np.array([at]), np.array([0]), pa.array([b""], pa.binary()), [counts.tobytes()])
 
     return ordered.mapInArrow(run, schema)
 
