@@ -26,8 +26,10 @@ JOINED = 512  # unseen pieces encoded in one call
 
 # Texts with other white space than this, with the special token or with the mark are encoded in one piece.
 PLAIN = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-ODD = re.compile(r"[\x03\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\|endoftext\|>")
-ODD_ASCII = ("\x03", "\x1c", "\x1d", "\x1e", "\x1f", "<|endoftext|>")
+ODD = (
+    "\x03", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)),
+    "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "<|endoftext|>",
+)
 RUNS = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
 INNER = ("\n\n", " \n", "\t", "\r", "\x0b", "\x0c")  # beside these a line feed may be part of a longer token
 ALONE = "\x03"  # begins the name of a piece that no space stands before
@@ -123,7 +125,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 others.append((i, []))
-            elif any(c in text for c in ODD_ASCII) if text.isascii() else ODD.search(text):
+            elif any(c in text for c in ODD):
                 others.append((i, [f"{ALONE}{ALONE}{text}"]))
                 whole.append(text)
             elif any(r in text for r in RUNS):
@@ -152,12 +154,14 @@ class Encoder:
         self.learn([n for n in distinct if n not in known and n not in older and n not in whole])
         raw = [whole[n] if n in whole else self.known[n] for n in distinct] if whole else list(map(self.known.__getitem__, distinct))
         ids = np.frombuffer(b"".join(raw), self.kind)
-        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // self.kind.itemsize
+        lengths = np.fromiter(map(len, raw), np.int32, len(raw)) // self.kind.itemsize
         each = lengths[index]
-        begins = (np.cumsum(lengths) - lengths)[index]
-        stops = np.cumsum(each)
-        flat = ids[np.repeat(begins - stops + each, each) + np.arange(stops[-1] if len(stops) else 0)]
-        ends = np.concatenate(([0], stops))[np.cumsum(counts)]
+        total = int(each.sum(dtype=np.int64))
+        small = np.int32 if total + len(ids) < 1 << 31 else np.int64
+        begins = (np.cumsum(lengths, dtype=small) - lengths)[index]
+        stops = np.cumsum(each, dtype=small)
+        flat = ids[np.repeat(begins - stops + each, each) + np.arange(total, dtype=small)]
+        ends = np.concatenate(([0], stops)).astype(np.int64)[np.cumsum(counts)]
         sizes = np.diff(ends, prepend=0)
         if order != list(range(len(order))):
             place = np.empty(len(order), np.int64)
@@ -289,12 +293,14 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 def encode_ids(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bits of a block, and the bit offset of every `EVERY`-th id."""
-    sizes = lengths[ids]
-    ends = np.cumsum(sizes)
+    small = np.int32 if len(ids) < 1 << 26 else np.int64  # bits of a block, at most LIMIT an id
+    sizes = lengths.astype(small)[ids]
+    ends = np.cumsum(sizes, dtype=small)
     starts = ends - sizes
     total = int(ends[-1])
     word = starts >> 5
-    wide = codes[ids].astype(np.uint64) << (64 - (starts & 31) - sizes).astype(np.uint64)
+    leading = codes.astype(np.uint64) << (64 - lengths).astype(np.uint64)
+    wide = leading[ids] >> (starts & 31).astype(np.uint64)
     first = np.concatenate(([0], np.nonzero(np.diff(word))[0] + 1))  # a code begins in every 32-bit word
     packed = np.zeros(len(first) + 1, np.uint64)  # bits are disjoint: sums are unions
     packed[:-1] += np.add.reduceat(wide >> np.uint64(32), first)
@@ -304,7 +310,7 @@ def encode_ids(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple
 
 def decoding_table(lengths: np.ndarray) -> np.ndarray:
     """For every LIMIT bits: the id whose code they begin with, times 32, plus its length."""
-    table = np.zeros(1 << LIMIT, np.int64)
+    table = np.zeros(1 << LIMIT, np.int32)
     codes = canonical_codes(lengths)
     used = np.nonzero(lengths)[0]
     order = used[np.lexsort((codes[used], lengths[used]))]
@@ -315,10 +321,11 @@ def decoding_table(lengths: np.ndarray) -> np.ndarray:
 
 def decode_ids(payload: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
     """The ids of a block; all stretches between checkpoints are decoded side by side."""
-    raw = np.frombuffer(payload + bytes(4), np.uint8).astype(np.int64)
+    small = np.int32 if len(payload) < 1 << 27 else np.int64
+    raw = np.frombuffer(payload + bytes(4), np.uint8).astype(np.int32)
     words = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
-    at, last = checkpoints.astype(np.int64), len(words) - 1
-    out = np.empty((EVERY, len(at)), np.int64)
+    at, last = checkpoints.astype(small), len(words) - 1
+    out = np.empty((EVERY, len(at)), np.int32)
     for k in range(EVERY):
         entry = table[(words[np.minimum(at >> 3, last)] >> (8 - (at & 7))) & 0xFFFF]
         out[k] = entry >> 5
