@@ -36,6 +36,14 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def buckets_for(rows: int, per_bucket: int = 20_000) -> int:
     """Number of hash buckets that keeps each at about `per_bucket` rows."""
     return max(1, -(-rows // per_bucket))

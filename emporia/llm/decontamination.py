@@ -12,13 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emporia.llm.common import unused
 from emporia.sources.store import work_table
 
 WINDOW = 13  # words of an overlap that counts
 SUBSTITUTED = 2  # of them that may differ
 # Every window of 13 words with up to two substitutions keeps one of these masks whole (see the tests).
 MASKS = ((0, 3, 7, 8, 9, 10), (0, 1, 2, 3, 5, 6))
-SHORTEST = 5  # items of fewer words say nothing about their source
 FILTER_BITS = 24  # the prefilter of training hashes has 2^24 bits, whatever the benchmark
 PROBES = (40, 16, 0)  # shifts that give the bits of a hash in it
 SLICE = 512  # documents hashed at once
@@ -33,7 +33,7 @@ def allowed(n: int) -> int:
 
 def masks_for(lengths: list[int]) -> list[tuple[int, ...]]:
     """The spaced masks, and for items shorter than a window whole runs: of two halves one is intact."""
-    short = {n // 2 if allowed(n) else n for n in lengths if SHORTEST <= n < WINDOW}
+    short = {n // 2 if allowed(n) else n for n in lengths if 0 < n < WINDOW}
     return [*MASKS, *[tuple(range(n)) for n in sorted(short)]]
 
 
@@ -69,31 +69,34 @@ def seed_hashes(values: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 
 
 def item_grams(items: DataFrame) -> DataFrame:
-    """(item_id, grams) of distinct item texts, each under its smallest id."""
+    """(item, item_id, grams) of distinct item texts that have a word, each under its smallest id, which may be
+    null. `item` numbers them; the table is stored, so the numbers hold.
+    """
 
     @F.pandas_udf("array<bigint>")
     def hashed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: grams(t).view(np.int64))
 
     rows = items.select("item_id", hashed("text").alias("grams"))
-    return rows.groupBy("grams").agg(F.min("item_id").alias("item_id")).where(F.size("grams") >= SHORTEST)
+    texts = rows.groupBy("grams").agg(F.min("item_id").alias("item_id")).where(F.size("grams") > 0)
+    return work_table(texts.withColumn("item", F.monotonically_increasing_id()))
 
 
 def item_seeds(items: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
-    """(mask, hash, item_id, at): where the masked words of an item stand in it."""
+    """(mask, hash, item, at): where the masked words of an item stand in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for item, values in zip(batch.item_id, batch.grams):
+            for item, values in zip(batch["item"], batch.grams):
                 values = np.asarray(values, np.int64).view(np.uint64)
                 for k, mask in enumerate(masks):
                     run_of = len(values) // 2 if allowed(len(values)) else len(values)
                     if (k < len(MASKS)) != (len(values) >= WINDOW) or (k >= len(MASKS) and len(mask) != run_of):
                         continue
                     found = seed_hashes(values, mask).view(np.int64)
-                    yield pd.DataFrame({"mask": k, "hash": found, "item_id": item, "at": np.arange(len(found))})
+                    yield pd.DataFrame({"mask": k, "hash": found, "item": item, "at": np.arange(len(found))})
 
-    return items.mapInPandas(run, "mask int, hash bigint, item_id bigint, at int")
+    return items.select("item", "grams").mapInPandas(run, "mask int, hash bigint, item bigint, at int")
 
 
 def prefilter(seeds: DataFrame) -> np.ndarray:
@@ -191,15 +194,16 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, key, item_id, first_word, n_words, n_matches): documents that hold part of an item.
 
     A part is a window of 13 consecutive words of which at most two are substituted; for an item of
-    8 to 12 words all but one, for 5 to 7 all of them. Items below 5 words are not searched for.
+    8 to 12 words all but one, of 1 to 7 words all of them. Items without a word are in no document.
     Masks that ignore some positions are hashed at every place of items and documents and the hashes are
     joined; around each hit the two texts are laid against one another and the windows verified. A bitmap
     of fixed size drops, inside the scan, hashes that are in no item; it never decides by itself.
 
-    One row per document and distinct item text (under its smallest item_id): the alignment with most
-    matching words. Null and empty texts hold nothing. `key` tells rows with the same doc_id apart.
+    One row per document row and distinct item text (under its smallest item_id, null if it has none): the
+    alignment with most matching words. Null and empty texts hold nothing. `key` tells rows with the same
+    doc_id apart; rows equal in doc_id and text each have their own rows. Empty tables give no rows.
     """
-    found = work_table(item_grams(items))
+    found = item_grams(items)
     lengths = [r[0] for r in found.select(F.size("grams")).where(F.size("grams") < WINDOW).distinct().collect()]
     masks = masks_for(lengths)
     seeds = work_table(item_seeds(found, masks))
@@ -210,7 +214,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     laid = (
         hits.join(seeds, ["mask", "hash"])
-        .select("row", "item_id", (F.col("place") - F.col("at")).alias("shift"))
+        .select("row", "item", (F.col("place") - F.col("at")).alias("shift"))
         .distinct()
     )
 
@@ -221,13 +225,13 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     checked = (
         laid.join(likely.select("row", "doc_id", "key", F.col("grams").alias("doc_grams")), "row")
-        .join(found, "item_id")
-        .select("row", "doc_id", "key", "item_id", verified("doc_grams", "grams", "shift").alias("v"))
+        .join(found, "item")
+        .select("row", "doc_id", "key", "item", "item_id", verified("doc_grams", "grams", "shift").alias("v"))
     )
     best = F.max(F.struct("v.n_matches", "v.n_words", (-F.col("v.first_word")).alias("back"))).alias("b")
     return (
         checked.where("v.n_words IS NOT NULL")
-        .groupBy("row", "doc_id", "key", "item_id")
+        .groupBy("row", "doc_id", "key", "item", "item_id")
         .agg(best)
         .select(
             "doc_id", "key", "item_id", (-F.col("b.back")).alias("first_word"), "b.n_words", "b.n_matches"
@@ -237,6 +241,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of `docs` that hold no part of an item, with the columns of `docs`."""
-    held = work_table(overlaps(docs, items).select(F.col("key").alias("_key")).distinct())
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    return rows.join(held, "_key", "left_anti").select(*docs.columns)
+    key = unused(docs, "key")
+    held = work_table(overlaps(docs, items).select(F.col("key").alias(key)).distinct())
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    return rows.join(held, key, "left_anti").select(*docs.columns)

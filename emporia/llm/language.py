@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emporia.llm.common import fresh
+from emporia.llm.common import fresh, unused
 from emporia.sources.store import work_table
 
 GRAMS = (1, 2, 3, 4)  # code points of an n-gram
@@ -261,7 +261,5 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     rows = fresh(docs, *ADDED)
-    free = "found"
-    while free in {c.lower() for c in rows.columns}:
-        free += "_"
+    free = unused(rows, "found")
     return rows.withColumn(free, predict("text")).select(*rows.columns, f"{free}.lang_pred", f"{free}.score")

@@ -343,7 +343,7 @@ def test_token_counts_awkward(awkward, empty):
 
 
 def test_masks_keep_every_allowed_window():
-    for n in range(decontamination.SHORTEST, decontamination.WINDOW + 1):
+    for n in range(1, decontamination.WINDOW + 1):
         masks = [m for m in decontamination.masks_for([n]) if (len(decontamination.MASKS) and n < 13) == (m not in decontamination.MASKS)]
         for k in range(decontamination.allowed(n) + 1):
             for changed in combinations(range(n), k):
@@ -359,7 +359,7 @@ def plain_leaks(docs: dict, items: dict) -> set:
         for i, other in items.items():
             item = decontamination.WORD.findall((other or "").lower())
             n = min(13, len(item))
-            if n < decontamination.SHORTEST:
+            if n == 0:
                 continue
             miss = decontamination.allowed(len(item))
             if any(
@@ -393,12 +393,28 @@ def test_decontamination_awkward(spark, awkward, empty):
     items = spark.createDataFrame([(1, prose(1, 40)), (2, prose(1, 40)), (3, "")], "item_id bigint, text string")
     rows = decontamination.overlaps(awkward, items).collect()
     assert {(r.doc_id, r.item_id) for r in rows} == {(5, 1), (6, 1)}
+    unnamed = spark.createDataFrame([(None, prose(1, 40)), (None, "another text"), (8, "nothing like it")], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.overlaps(awkward, unnamed).collect()) == [(1, None), (5, None), (6, None)]
+    own = awkward.withColumn("_key", F.lit("mine"))
+    kept = decontamination.decontaminate(own, unnamed)
+    assert kept.count() == awkward.count() - 3 and {r["_key"] for r in kept.collect()} == {"mine"}
     clean = decontamination.decontaminate(awkward, items)
     assert clean.columns == awkward.columns and clean.count() == awkward.count() - 2
     assert decontamination.decontaminate(awkward, items.limit(0)).count() == awkward.count()
     assert decontamination.overlaps(empty, items).count() == 0
 
 
+def test_one_phrase_in_many_items_and_documents(spark):
+    """Short items, and a passage that most items and documents share."""
+    phrase = prose(77, 20, 5000)
+    items = {i: f"{prose(i, 6, 5000)} {phrase}" for i in range(60)} | {100: "rare word", 101: "unheard"}
+    docs = [f"{prose(500 + d, 30, 5000)} {phrase if d % 3 else ''} {'Rare, word' if d % 7 == 0 else ''}" for d in range(120)]
+    frame = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    rows = decontamination.overlaps(documents(spark, docs), frame).collect()
+    expected = {(d, i) for d in range(120) for i in range(60) if d % 3} | {(d, 100) for d in range(0, 120, 7)}
+    assert len(rows) == len(expected) and {(r.doc_id, r.item_id) for r in rows} == expected
+
+
 # 7 Token files
 
 
