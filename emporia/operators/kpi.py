@@ -128,30 +128,38 @@ def daily_quantity_series(fact: DataFrame, product: str | None = None) -> DataFr
     )
 
 
-def exact_median(df: DataFrame, value: str, accuracy: int = 10000) -> DataFrame:
+def exact_median(df: DataFrame, value: str, cells: int = 4096, few: int = 4096) -> DataFrame:
     """One row with the exact median of a column, without gathering the column in one task.
 
-    Approximate quantiles, whose rank error is at most 1/accuracy of the rows, bracket the middle;
-    the rows below the bracket are only counted and the few distinct values in it are ranked.
-    The input is read several times, so pass a stored table.
+    The two middle values are selected by refining a histogram: rows are counted in `cells` equal cells of
+    the range in which they must lie, and the cells that hold them are the next range. Cells are counts that
+    combine before the shuffle. A range ends with at most `few` distinct values (a value repeated any
+    number of times is one), which are ranked. The input is read once a round, so pass a stored table.
     """
-    margin = 5.0 / accuracy
-    values = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    cuts = F.percentile_approx("v", [0.5 - margin, 0.5 + margin], accuracy)
-    bracket = values.agg(F.struct(cuts.alias("cuts"), F.count("*").alias("n")).alias("b")).scalar()
-    low, high, n = bracket["cuts"][0], bracket["cuts"][1], bracket["n"]
-    below = values.where(F.col("v") < low).agg(F.count("*")).scalar()
-    inside = values.where(F.col("v").between(low, high)).groupBy("v").agg(F.count("*").alias("c"))
-    ranked = inside.withColumn("upto", F.sum("c").over(W.orderBy("v")) + below)
-    lower = F.min(F.when(F.col("upto") >= F.floor((n + 1) / 2), F.col("v")))
-    upper = F.min(F.when(F.col("upto") >= F.ceil((n + 1) / 2), F.col("v")))
-    in_bracket = (F.coalesce(F.max("upto"), F.lit(0)) >= F.ceil((n + 1) / 2)) & (below < (n + 1) / 2)
-    return ranked.agg(
-        F.when(n == 0, F.lit(None).cast("double"))
-        .when(in_bracket, (lower + upper) / 2)
-        .otherwise(F.raise_error(F.lit("median outside its bracket")).cast("double"))
-        .alias("median")
-    )
+    values = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    first, last, below = (n + 1) // 2, n // 2 + 1, 0  # places of the middle values; rows below the range
+    while n:
+        inside = values.where(F.col("v").between(low, high))
+        width = (high - low) / cells
+        distinct = inside.agg(F.approx_count_distinct("v")).first()[0]
+        if distinct <= few // 2 or width == 0 or low + width == low:
+            break
+        cell = F.least(F.floor((F.col("v") - low) / width), F.lit(cells - 1))
+        counts = inside.groupBy(cell.alias("cell")).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto, found = below, []
+        for r in sorted(counts.collect(), key=lambda r: r.cell):  # at most `cells` rows
+            if upto < last and upto + r.c >= first:
+                found.append((upto, r.low, r.high))
+            upto += r.c
+        if len(found) == 2:  # one middle value ends a cell, the other begins the next
+            return df.sparkSession.createDataFrame([((found[0][2] + found[1][1]) / 2,)], "median double")
+        below, low, high = found[0]
+    ranked = values.where(F.col("v").between(low, high)).groupBy("v").agg(F.count("*").alias("c"))
+    ranked = ranked.withColumn("upto", F.sum("c").over(W.orderBy("v")) + below)
+    lower = F.min(F.when(F.col("upto") >= first, F.col("v")))
+    upper = F.min(F.when(F.col("upto") >= last, F.col("v")))
+    return ranked.agg(((lower + upper) / 2).alias("median"))
 
 
 def customer_features(fact: DataFrame) -> DataFrame:

@@ -105,3 +105,13 @@ def test_accounts(spark):
     )
     assert tuple(kpi.account_stats(df).first()) == (2, 1)
     assert [tuple(r) for r in kpi.signups_by_month(df).collect()] == [("2024-01", 2)]
+
+
+@pytest.mark.parametrize("values", [
+    [5.0] * 400, [float(i) for i in range(999)], [0.0] * 50 + [1e9] * 50, [i * 1e-9 for i in range(300)] + [1e9 + i for i in range(300)],
+    [-3.5, None, 2.0], [1.0, 2.0], [float("nan"), 1.0, 7.0, 9.0], [1e300, -1e300, 0.5, 0.25], [2.0**i for i in range(300)],
+])
+def test_median_by_refined_histograms(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    known = [v for v in values if v is not None and v == v]
+    assert kpi.exact_median(df, "v", cells=8, few=4).first()[0] == statistics.median(known)
