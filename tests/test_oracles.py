@@ -13,8 +13,8 @@ def connection(folder):
     return duck(folder)
 
 
-# Three fits of 300 boosted rounds: compare.py runs them, and unit tests their parts with fewer rounds.
-LONG = {"forecast_boosted", "forecast_recursive", "forecast_total", "forecast_product"}
+# A fit of 300 boosted rounds: compare.py runs them, and unit tests hold node tables against the library.
+LONG = {"forecast_boosted_residuals", "forecast_recursive_residuals"}
 CORPUS = {n for n in oracle_sql() if n.startswith("op")}  # have their own tests
 
 
