@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +47,21 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def keeps_own_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator for tables that may have columns named like its inner ones, which all begin with `_`.
+
+    Such columns of the first argument are set aside under other names and get their own back in the result.
+    """
+
+    @functools.wraps(operator)
+    def shielded(docs: DataFrame, *args, **options) -> DataFrame:
+        own = {c: unused(docs, f"own{i}{c}") for i, c in enumerate(docs.columns) if c.startswith("_")}
+        result = operator(docs.withColumnsRenamed(own), *args, **options)
+        return result.withColumnsRenamed({aside: c for c, aside in own.items()})
+
+    return shielded
+
+
 def buckets_for(rows: int, per_bucket: int = 20_000) -> int:
     """Number of hash buckets that keeps each at about `per_bucket` rows."""
     return max(1, -(-rows // per_bucket))

@@ -1,16 +1,17 @@
-"""Mixing sources to target weights: Sainte-Laguë quotas of single words."""
+"""Mixing sources to target weights: Sainte-Laguë quotas of equal blocks of words."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emporia.llm.common import buckets_for, fresh, running_total, word_count
+from emporia.llm.common import buckets_for, fresh, keeps_own_columns, running_total, word_count
 from emporia.sources.store import work_table
 
 SHARDS = 8
 REPEATS = 3  # no document and no source is taken more often than this
 WEIGHTS = (1, 2, 3)  # of the sources in code point order, repeating
+BLOCKS = 100  # blocks that the smallest target is worth, at least
 SEED = 20
 ADDED = ("size", "source_size", "target", "taken")
 
@@ -91,7 +92,7 @@ def apportion(claims: DataFrame) -> DataFrame:
 
 
 def shard_quotas(targets: DataFrame, seats: int, shards: int = SHARDS) -> DataFrame:
-    """(shard, rank, drawn, quota): words of the source for the shard, and those drawn before it.
+    """(shard, rank, drawn, quota): blocks of the source for the shard, and those drawn before it.
 
     Sainte-Laguë never takes a seat away when the house grows, so the quotas of a shard are the seats
     of the first shards up to it, less those without it: whole numbers, none negative, and every
@@ -110,17 +111,65 @@ def shard_quotas(targets: DataFrame, seats: int, shards: int = SHARDS) -> DataFr
     )
 
 
+def draws(targets: DataFrame, shards: int = SHARDS, seed: int = SEED, repeats: int = REPEATS) -> DataFrame:
+    """(source, rank, source_size, target, shard, quota, first, words, start, given): what each shard draws.
+
+    All sources are cut into blocks of the same number of words, at most 1 / `BLOCKS` of the smallest
+    positive target; the highest quotients give every shard its whole quota of blocks of every source. The
+    blocks of a source are dealt to the shards in stripes (words `first` to `first + words`), and a
+    shard draws its quota from its own stripe: one block after the other from a seeded one on, around the
+    stripe, `repeats` times at most. The words after the last whole block are a stripe without a shard
+    (`shard` is the number of shards, `quota` 0).
+
+    `given` is the number of words drawn. What a source's quotas lack of its target, or have beyond it,
+    about a block or two, is settled in words: the stripes in turn go on drawing, or give back what they drew last.
+    """
+    total, least = targets.agg(
+        F.coalesce(F.sum("source_size"), F.lit(0)), F.min(F.when(F.col("target") > 0, F.col("target")))
+    ).first()
+    block = max(1, int((least or 0) // BLOCKS))
+    quotas = shard_quotas(targets, total // block, shards).select("shard", "rank", "quota")
+    blocks = F.floor(F.col("source_size") / block)
+    first = F.floor(blocks * F.col("shard") / shards)
+    end = F.floor(blocks * (F.col("shard") + 1) / shards)
+    is_tail = F.col("shard") == shards
+    by_source = Window.partitionBy("rank")
+    earlier = by_source.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    stripes = (
+        targets.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards))))
+        .join(quotas, ["rank", "shard"], "left")
+        .withColumn("quota", F.coalesce("quota", F.lit(0).cast("long")))
+        .withColumn("blocks", F.when(is_tail, F.lit(1)).otherwise(end - first).cast("long"))
+        .withColumn("first", (first * block).cast("long"))
+        .withColumn("words", F.when(is_tail, F.col("source_size") % block).otherwise((end - first) * block).cast("long"))
+        .withColumn("drawn", F.least(F.col("quota") * block, F.col("words") * repeats))
+        .withColumn("room", F.col("words") * repeats - F.col("drawn"))
+        .withColumn("lack", F.round("target").cast("long") - F.sum("drawn").over(by_source))
+    )
+    more = F.least(F.col("room"), F.col("lack") - F.coalesce(F.sum("room").over(earlier), F.lit(0)))
+    less = F.least(F.col("drawn"), -F.col("lack") - F.coalesce(F.sum("drawn").over(earlier), F.lit(0)))
+    chosen = F.pmod(F.xxhash64("source", "shard", F.lit(seed)), F.greatest("blocks", F.lit(1)))
+    return stripes.withColumns(
+        {
+            "given": F.col("drawn") + F.greatest(more, F.lit(0)) - F.greatest(less, F.lit(0)),
+            "start": F.col("first") + F.when(is_tail, F.lit(0)).otherwise(chosen * block),
+        }
+    ).select("source", "rank", "source_size", "target", "shard", "quota", "first", "words", "start", "given")
+
+
+@keeps_own_columns
 def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """Rows of `docs` with size (words), source_size, target (of the source) and taken (words).
 
-    A source's documents stand in a seeded order, and their words form a ring. From a seeded word on, the
-    shards draw their quotas of words one after the other; a quota beyond the ring goes round again,
-    `REPEATS` times at most. `taken` counts the drawn words of a document. Quotas are settled to the word
-    at any size of the input, so that every source, however small, is within a word of its target. Sizes,
-    targets and draws depend on the rows only: reruns agree.
+    A source's documents stand in a seeded order, and their words are cut into equal blocks, of which every
+    shard draws its quota (see `draws`). `taken` counts the drawn words of a document, in all shards together.
+    A document is cut only where a draw begins or ends, since a shard's blocks follow each other in that
+    seeded order. Every source, however small, is within a word of its target. Sizes, targets and draws
+    depend on the rows only: reruns agree.
 
     A null text has size 0; a null source is a source of its own, last in order. Repeated rows count
-    one by one. Columns named like the added ones are replaced; an empty table gives an empty result.
+    one by one. Columns named like the added ones are replaced, all others keep their names and values,
+    also those named like inner ones; an empty table gives an empty result.
     """
     return mix_sized(sized(fresh(docs, *ADDED), seed), shards, weights, seed)
 
@@ -136,37 +185,33 @@ def mix_sized(
 ) -> DataFrame:
     """`mix` for rows that have `size` and `_order`, whose text is no longer needed."""
     rows = work_table(rows)
-    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    targets = work_table(source_targets(rows))
-    quotas = shard_quotas(targets, total, shards).groupBy("rank").agg(F.sum("quota").alias("quota"))
+    stripe = F.struct("shard", "first", "words", "start", "given")
     plan = (
-        targets.join(quotas, "rank")
-        .withColumn("_ring", F.greatest("source_size", F.lit(1)))
-        .withColumn("_quota", F.least(F.col("quota"), F.col("_ring") * REPEATS))
-        .select(
-            F.col("source").alias("_source"),
-            "source_size",
-            "target",
-            F.floor(F.col("_quota") / F.col("_ring")).alias("_rounds"),
-            (F.col("_quota") % F.col("_ring")).alias("_beyond"),
-            F.pmod(F.xxhash64("source", F.lit(seed)), F.col("_ring")).alias("_first"),
-        )
+        draws(work_table(source_targets(rows, weights)), shards, seed)
+        .groupBy(F.col("source").alias("_source"), "source_size", "target")
+        .agg(F.sort_array(F.collect_list(stripe)).alias("_stripes"))
     )
-    placed = running_total(rows, "source", "_order", "size", "_begin", buckets_for(count, 2000))
+    placed = running_total(rows, "source", "_order", "size", "_begin", buckets_for(rows.count(), 2000))
     found = placed.join(work_table(plan), F.col("source").eqNullSafe(F.col("_source")))
-    end = F.col("_begin") + F.col("size")
+    begin, end = F.col("_begin"), F.col("_begin") + F.col("size")
 
     def overlap(start, stop):
-        return F.greatest(F.least(end, stop) - F.greatest(F.col("_begin"), start), F.lit(0))
+        return F.greatest(F.least(end, stop) - F.greatest(begin, start), F.lit(0))
 
-    stop = F.col("_first") + F.col("_beyond")
-    around = F.greatest(stop - F.col("source_size"), F.lit(0))
-    taken = F.col("_rounds") * F.col("size") + overlap(F.col("_first"), stop) + overlap(F.lit(0), around)
-    return found.withColumn("taken", taken.cast("long")).drop(
-        "_source", "_rounds", "_beyond", "_first", "_begin", "_order"
-    )
+    def drawn_from(s):
+        """Words of the document among those given by the stripe: whole rounds, and an arc of the next."""
+        first, after = s["first"], s["first"] + s["words"]
+        rounds, beyond = F.floor(s["given"] / s["words"]), s["given"] % s["words"]
+        stop = s["start"] + beyond
+        arc = overlap(s["start"], F.least(stop, after)) + overlap(first, first + stop - after)
+        return rounds * overlap(first, after) + arc
+
+    touched = F.filter("_stripes", lambda s: (s["first"] < end) & (s["first"] + s["words"] > begin) & (s["words"] > 0))
+    taken = F.aggregate(touched, F.lit(0).cast("long"), lambda n, s: n + drawn_from(s).cast("long"))
+    return found.withColumn("taken", taken).drop("_source", "_stripes", "_begin", "_order")
 
 
+@keeps_own_columns
 def repeat_taken(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each as often as its taken words make it up, rounded; columns of `docs`."""
     own = {c: f"_own_{c}" for c in docs.columns if c.lower() in ADDED}

@@ -290,6 +290,78 @@ def test_caps_are_reshared(spark):
     assert {r.source: r.target for r in rows} == pytest.approx(targets)
 
 
+def plain_taken(rows, targets: dict, shards: int, start: dict) -> list:
+    """Words taken of each of `rows` (source, size) in ring order, counted block by block and word by word."""
+    sizes = Counter()
+    for source, size in rows:
+        sizes[source] += size
+    ranked = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    block = max(1, int(min(t for t in targets.values() if t) // mixing.BLOCKS))
+    seats = sum(sizes.values()) // block
+    ends = [plain_seats({i: targets[s] for i, s in enumerate(ranked)}, seats * e // shards) for e in range(shards + 1)]
+    copies = {}
+    for i, source in enumerate(ranked):
+        n = sizes[source] // block
+        stripes = [range(n * s // shards, n * (s + 1) // shards) for s in range(shards)]
+        words = [[w for b in st for w in range(b * block, (b + 1) * block)] for st in stripes]
+        words.append(list(range(n * block, sizes[source])))
+        given = [min((ends[s + 1][i] - ends[s][i]) * block, 3 * len(words[s])) for s in range(shards)] + [0]
+        lack = round(targets[source]) - sum(given)
+        for s, inside in enumerate(words):
+            change = max(-given[s], min(lack, 3 * len(inside) - given[s]))
+            given[s] += change
+            lack -= change
+        taken = copies[source] = [0] * sizes[source]
+        for s, inside in enumerate(words):
+            at = 0 if s == shards or not inside else start[source, s] % len(stripes[s]) * block
+            for k in range(given[s]):
+                taken[inside[(at + k) % len(inside)]] += 1
+    before, result = Counter(), []
+    for source, size in rows:
+        result.append(sum(copies[source][before[source] : before[source] + size]))
+        before[source] += size
+    return result
+
+
+@pytest.mark.parametrize("shards", [1, 3, 8])
+def test_mix_against_plain_blocks(spark, shards):
+    sources = ["hot"] * 5 + ["a", "b", None, "z"]
+    docs = documents(spark, [prose(i, i * 7 % 300) if i != 77 else prose(i, 2500) for i in range(180)], sources)
+    order = docs.select("doc_id", F.xxhash64("doc_id", "text", F.lit(mixing.SEED)).alias("o"))
+    place = {r.doc_id: r.o for r in order.collect()}
+    keys = spark.createDataFrame([(s, i) for s in {*sources} for i in range(shards)], "source string, shard int")
+    start = {(r.source, r.shard): r.h for r in keys.select("*", F.xxhash64("source", "shard", F.lit(mixing.SEED)).alias("h")).collect()}
+    rows = sorted(mixing.mix(docs, shards=shards).collect(), key=lambda r: place[r.doc_id])
+    targets = {r.source: r.target for r in rows}  # to the last bit: equal quotients go by rank
+    sized = [(r.source, r["size"]) for r in rows]
+    assert [r.taken for r in rows] == plain_taken(sized, targets, shards, start)
+
+
+def test_blocks_are_drawn_by_shard(spark):
+    """The number of shards decides which blocks are drawn; a stripe gives whole blocks but for what settles the target."""
+    docs = documents(spark, [prose(i, 40 + i % 9) for i in range(700)], ["hot"] * 4 + ["a", "b"])
+    taken = {n: {r.doc_id: r.taken for r in mixing.mix(docs, shards=n).collect()} for n in (1, 8)}
+    assert taken[1] != taken[8] and sum(taken[1].values()) == pytest.approx(sum(taken[8].values()), abs=3)
+    targets = mixing.work_table(mixing.source_targets(mixing.sized(docs)))
+    block = int(min(r.target for r in targets.collect()) // mixing.BLOCKS)
+    drawn = mixing.draws(targets).collect()
+    assert len(drawn) == 3 * 9 and block > 1
+    for source in "hot", "a", "b":
+        stripes = [r for r in drawn if r.source == source]
+        assert sum(r.given for r in stripes) == pytest.approx(stripes[0].target, abs=0.5)
+        assert sum(abs(r.given - r.quota * block) for r in stripes) <= 2 * block
+        assert max(r.quota for r in stripes[:8]) - min(r.quota for r in stripes[:8]) <= 2
+        assert len({(r.start - r.first) // block for r in stripes[:8]}) > 1
+
+
+def test_mixing_keeps_columns_named_like_inner_ones(spark):
+    inner = ("_order", "_begin", "_source", "_stripes", "_range", "_group", "_at", "_offset", "_copies", "_copy")
+    docs = documents(spark, [prose(i, 30) for i in range(40)]).withColumns({n: F.concat(F.lit(n), "doc_id") for n in inner})
+    for rows in (mixing.mix(docs), mixing.repeat_taken(docs)):
+        assert rows.columns[: len(docs.columns)] == docs.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows.collect() for n in inner)
+
+
 def test_shard_quotas_are_whole_and_complete(spark):
     targets = spark.createDataFrame([(0, 10.0), (1, 33.3), (2, 0.0), (3, 900.0)], "rank int, target double")
     rows = mixing.shard_quotas(targets, 1003, 8).collect()
