@@ -205,6 +205,90 @@ def test_small_groups_share_a_shard(spark):
     assert max(map(len, by_text.values())) <= 2 and sum(len(s) > 1 for s in by_text.values()) <= 7
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_repeated_rows_are_cut_between_shards(spark, doc_id):
+    """Rows that nothing tells apart may hold half of the table."""
+    rows = [(i, prose(i, 30)) for i in range(600)] + [(doc_id, prose(1000, 30))] * 600
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = sharding.shard(docs).collect()
+    check_shards(got)
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r["size"]
+    mean = sum(sizes.values()) / 8
+    assert max(sizes.values()) < 1.06 * mean and min(sizes.values()) > 0.94 * mean
+
+
+def test_overfull_ranges_are_sampled_afresh(spark):
+    """Splitters, whatever the sample, end where only single keys are overfull; totals are those of a plain count."""
+    draw = random.Random(5)
+    table = [(f"{draw.getrandbits(128):032x}", draw.choice([1, 1, 1, 400])) for _ in range(3000)]
+    table += [(f"{7:032x}", 9)] * 2000 + [(f"{8:032x}", 50_000)]
+    keys = spark.createDataFrame(table, "_key string, _size bigint")
+    total = sum(size for _, size in table)
+    splitters, totals = sharding.splitters_for(keys, total, 64)
+    plain = {}
+    for key, size in table:
+        plain.setdefault(sum(s <= key for s in splitters), []).append((key, size))
+    assert totals == {at: (sum(z for _, z in r), len(r), len({k for k, _ in r}) == 1) for at, r in plain.items()}
+    assert all(one or size <= 2 * total / 64 for size, _, one in totals.values())
+
+
+def test_pieces_against_a_plain_count():
+    draw = random.Random(6)
+    for shards in (1, 3, 8):
+        totals, hot = {}, set()
+        for at in range(40):
+            n, each = draw.randrange(1, 30), draw.randrange(1, 9)
+            totals[at * 3] = (n * each, n, False)
+            if draw.random() < 0.3:
+                hot.add(at * 3)
+        total, before, slots = sum(size for size, _, _ in totals.values()), 0, Counter()
+        found = {}
+        for at, first, after, s, slot in sharding.pieces_of_ranges(totals, shards, hot):
+            for i in range(first, after):
+                assert (at, i) not in found
+                found[at, i] = (s, slot + i - first)
+        for at, (size, n, _) in totals.items():
+            for i in range(n):
+                each = size // n
+                middle = 2 * before + (2 * i * each + each if at in hot else size)
+                s = min(shards - 1, middle * shards // (2 * total))
+                assert found.pop((at, i)) == (s, slots[s])
+                slots[s] += 1
+            before += size
+        assert not found
+
+
+def test_sharding_query_against_exact_quantiles(spark, folder):
+    """Shards of the query stand in key order, cut where the bytes say, with the rows of each in slots."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    key = {r.doc_id: r["_key"] for r in sharding.keyed(docs).select("doc_id", "_key").collect()}
+    text = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    rows = QUERIES["op3_sharding"](spark, folder).collect()
+    check_shards(rows)
+    assert sorted(r.doc_id for r in rows) == sorted(text)
+    total, before = sum(len(t.encode()) + 1 for t in text.values()), 0
+    longest = max(len(t.encode()) for t in text.values())
+    for r in sorted(rows, key=lambda r: key[r.doc_id]):
+        assert r["size"] == len(text[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode())
+        middle, slack = (before + r["size"] / 2) * 8 / total, 8 * (longest + 2 * total / sharding.RANGES) / total
+        assert middle - slack <= r.shard + 1 and r.shard <= middle + slack
+        before += r["size"]
+    for s in range(8):
+        inside = [(key[r.doc_id][:16], r.slot) for r in rows if r.shard == s]
+        assert inside and min(inside)[0] >= max([key[r.doc_id][:16] for r in rows if r.shard < s], default="")
+
+
+def test_sharding_keeps_columns_named_like_inner_ones(spark):
+    inner = ("_at", "_cut", "_home", "_part", "_offset", "_key", "_size", "_row", "_first", "_after", "_slot", "_id", "_Rows")
+    docs = documents(spark, [prose(i, 30) for i in range(40)] + ["x y"] * 3).withColumns({n: F.concat(F.lit(n), "doc_id") for n in inner})
+    rows = sharding.shard(docs)
+    assert rows.columns[: len(docs.columns)] == docs.columns
+    assert all(r[n] == f"{n}{r.doc_id}" for r in rows.collect() for n in inner)
+
+
 def test_sharding_awkward(spark, awkward, empty):
     rows = sharding.shard(awkward).collect()
     check_shards(rows)
