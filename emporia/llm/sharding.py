@@ -29,9 +29,14 @@ def text_key(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The range key, as text that sorts by text hash and then by row, and the size."""
+    """The range key, as text that sorts by text hash and then by row, the size and the checksum.
+
+    What is taken from the text is taken here: where the text itself is not asked for, it is never shuffled.
+    """
+    text = F.col("text")
     row = F.lpad(F.hex(F.xxhash64("doc_id", "text", F.lit(1))), 16, "0")
-    return docs.withColumns({"_size": size_of(F.col("text")), "_key": F.concat(text_key(F.col("text")), row)})
+    crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+    return docs.withColumns({"_size": size_of(text), "_crc": crc, "_key": F.concat(text_key(text), row)})
 
 
 def splitter_count(splitters: list[str], key: str) -> Column:
@@ -203,13 +208,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -> DataFr
         .withColumns(
             {
                 "size": F.col("_size"),
-                "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")),
+                "text_crc32": F.col("_crc"),
                 "law": F.lit("bytes"),
                 "slot": F.col("_slot") + F.col("_row") - F.col("_first"),
                 "grown_shard": F.lit(None).cast("int"),
             }
         )
-        .drop("_at", "_home", "_first", "_after", "_slot", "_row", "_key", "_size")
+        .drop("_at", "_home", "_first", "_after", "_slot", "_row", "_key", "_size", "_crc")
     )
 
 

@@ -282,7 +282,7 @@ def test_sharding_query_against_exact_quantiles(spark, folder):
 
 
 def test_sharding_keeps_columns_named_like_inner_ones(spark):
-    inner = ("_at", "_cut", "_home", "_part", "_offset", "_key", "_size", "_row", "_first", "_after", "_slot", "_id", "_Rows")
+    inner = ("_at", "_cut", "_home", "_part", "_offset", "_key", "_size", "_row", "_first", "_after", "_slot", "_id", "_crc", "_Rows")
     docs = documents(spark, [prose(i, 30) for i in range(40)] + ["x y"] * 3).withColumns({n: F.concat(F.lit(n), "doc_id") for n in inner})
     rows = sharding.shard(docs)
     assert rows.columns[: len(docs.columns)] == docs.columns
