@@ -24,7 +24,7 @@ MIN_LAGGED_ROWS, MIN_MONTHS, TRAIN_SHARE = 10, 3, 0.8
 # Demand levels, in percent of the highest forecast.
 HIGH_DEMAND, MODERATE_DEMAND = 70, 40
 HIGH_LABEL, MODERATE_LABEL, LOW_LABEL = "Forte demande", "Demande modérée", "Faible demande"
-
+# The inputs of the boosted trees.
 FEATURES = ["month", "year", "quarter", "lag1", "lag2", "lag3"]
 LAGS = ["lag1", "lag2", "lag3"]
 

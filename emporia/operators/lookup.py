@@ -161,7 +161,7 @@ def match_product_name(queries: DataFrame, products: DataFrame, query: str = "qu
     open_texts = first.where("_start IS NULL AND _q <> ''").select("_q").distinct()
 
     by_words = work_table(best_shared_words(open_texts, names))
-    still_open = open_texts.join(by_words, "_q", "left_anti").where(F.length("_q") >= 4)
+    still_open = work_table(open_texts.join(by_words, "_q", "left_anti").where(F.length("_q") >= 4))
     by_part = (
         contains_join(names, "_low", still_open, "_q")
         .groupBy("_q")

@@ -63,8 +63,8 @@ def extract_filters(questions: DataFrame, categories: DataFrame, delegations: Da
         .withColumn("single_product", single | ((number != "") & (F.col("top_n") == 1)))
         .withColumn("products", quoted_names(F.col("text")))
     )
-    named = contained_names(flagged, KEYS, "text", categories, "category", "_categories")
-    named = contained_names(named, KEYS, "text", delegations, "delegation", "regions")
+    lists = {"_categories": (categories, "category"), "regions": (delegations, "delegation")}
+    named = contained_names(work_table(flagged), "text", lists)
     return (
         named.withColumn("category", F.try_element_at("_categories", F.lit(1)))
         .withColumn("delegation", F.try_element_at("regions", F.lit(-1)))

@@ -70,18 +70,9 @@ def any_of(words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
 
 
-COMPARISON = any_of(["compar", "différence", "et a", "c est les memes", "même chose", "entre", "vs", "versus"])
-FOLLOW_UP = any_of(["c est les memes", "même chose", "et a"])
-SINGLE = any_of(
-    ["le produit le plus acheté", "le plus vendu", "le meilleur produit", "quel est le produit", "quel produit",
-     "top 1", "un seul"]
-)
-TOP = any_of(["top", "produit", "plus acheté", "meilleur", "best", "vendu"])
-BASKET = any_of(
-    ["co-occurrence", "ensemble", "avec", "pair", "panier", "association", "combinaison"]
-)
-CATEGORY = any_of(["catégorie", "type de produit", "famille", "categories"])
-INSIGHT = any_of(["insight", "analyse globale", "résumé", "dashboard"])
+COMPARISON, FOLLOW_UP, SINGLE = any_of(q.COMPARISON_WORDS), any_of(q.FOLLOW_UP_WORDS), any_of(q.SINGLE_WORDS)
+TOP, BASKET, CATEGORY = any_of(q.TOP_WORDS), any_of(q.BASKET_WORDS), any_of(q.CATEGORY_WORDS)
+INSIGHT = any_of(q.INSIGHT_WORDS)
 
 FILTERED = f"""{QUESTIONS}, lowered AS (
   SELECT *, lower(text) AS low, regexp_extract(lower(text), 'top (\\d+)', 1) AS num FROM questions

@@ -69,8 +69,12 @@ def test_contained_names(spark):
     )
     names = spark.createDataFrame([("Tunis",), ("Sfax",), ("Grand Tunis",), (None,), ("",)], "name string")
     expected = {(1, 0): ["Sfax", "Tunis"], (1, 1): [], (2, 0): ["Grand Tunis", "Tunis"], (2, 1): []}
-    rows = contained_names(texts, ["conv_id", "turn"], "text", names, "name", "found").collect()
+    more = spark.createDataFrame([("TUNIS",), ("Rien",)], "kind string")
+    rows = contained_names(texts, "text", {"found": (names, "name"), "kinds": (more, "kind")}).collect()
     assert {(r.conv_id, r.turn): r.found for r in rows} == expected
+    assert {(r.conv_id, r.turn): r.kinds for r in rows} == {
+        (1, 0): ["TUNIS"], (1, 1): ["Rien"], (2, 0): ["TUNIS"], (2, 1): [],
+    }
 
 
 def test_contains_join_over_stretches(spark):
@@ -80,3 +84,15 @@ def test_contains_join_over_stretches(spark):
     right = spark.createDataFrame([("needle",), ("needley",), ("xneedle",), ("zz",), ("",)], "n string")
     found = sorted(map(tuple, contains_join(left, "t", right, "n").select("t", "n").collect()))
     assert found == brute(texts, ["needle", "needley", "xneedle", "zz"])
+
+
+def test_contains_join_with_a_very_long_needle(spark):
+    """A needle of 10,000 characters is found, also across seams, and the short ones beside it still are."""
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdef") for _ in range(10_000))
+    texts = [long, "zz" + long + "red", "z" * 9_990 + long + long, long[:-1], long[1:] + "red", "a red text"]
+    needles = [long, long[:5_000], long[2_000:9_000], "red", "re", long + "x"]
+    left = spark.createDataFrame([(t,) for t in texts], "t string")
+    right = spark.createDataFrame([(n,) for n in needles], "n string")
+    found = contains_join(left, "t", right, "n").select("t", "n").collect()
+    assert sorted(map(tuple, found)) == brute(texts, needles)
