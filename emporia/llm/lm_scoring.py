@@ -6,17 +6,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emporia.llm.common import fresh, word_count
+from emporia.llm.common import fresh, keeps_own_columns, word_count
 from emporia.sources.store import work_table
 
-START, UNKNOWN = 0, 1
 PRIOR = 20.0  # weight of the unigram model in a bigram's probability, in tokens
 HELD_WORDS = 500_000  # distinct words counted in a task before they are handed on
 CHUNK_WORDS = 500_000  # words whose pairs are gathered in a task before they are handed on
@@ -32,103 +30,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts; counted in the task before anything is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
-            )
-
-        counts: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words_of(text))
-            if len(counts) > HELD_WORDS:
-                yield rows()
-                counts = Counter()
-        yield rows()
-
-    return texts.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def shared_vocabulary(target: DataFrame, background: DataFrame, size: int) -> dict[bytes, int]:
-    """Numbers of the most frequent words of both corpora together; ties by the word."""
-    both = word_counts(target).unionByName(word_counts(background)).groupBy("word").agg(F.sum("n").alias("n"))
-    top = both.orderBy(F.desc("n"), "word").limit(size - 2).select("word").collect()
-    return {bytes(r[0]): i + 2 for i, r in enumerate(top)}
-
-
-def numbered(texts: list[str | None], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram numbers of all texts behind one another, and how many each text has."""
-    size = len(vocabulary) + 2
-    ids, sizes = [], []
-    for text in texts:
-        words = words_of(text)
-        ids.append(START)
-        ids.extend([vocabulary.get(w, UNKNOWN) for w in words])
-        sizes.append(len(words))
-    flat = np.array(ids, np.int64)
-    sizes = np.array(sizes, np.int64)
-    firsts = np.cumsum(sizes + 1) - sizes - 1  # places of the start marks, which end no bigram
-    keys = np.zeros(len(flat), np.int64)
-    keys[1:] = flat[:-1] * size + flat[1:]
-    return np.delete(keys, firsts), sizes
-
-
-def bigram_counts(texts: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
-    """Counts of word pairs over all texts, as a square of the vocabulary's size."""
-    size = len(vocabulary) + 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size * size, np.int64)
-        for batch in batches:
-            keys, _ = numbered(batch.column(0).to_pylist(), vocabulary)
-            counts += np.bincount(keys, minlength=size * size)
-        found = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["pair", "n"])
-
-    summed = texts.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            columns = [pa.array([pairs.astype("<i4").tobytes()]), pa.array([n.astype("<f4").tobytes()])]
-            yield pa.RecordBatch.from_arrays(columns, names=["pairs", "counts"])
-
-    # The driver fills the square of the vocabulary, whatever the corpus, one partition after the other.
-    counts = np.zeros(size * size, np.float32)
-    for row in summed.mapInArrow(packed, "pairs binary, counts binary").toLocalIterator():
-        counts[np.frombuffer(row.pairs, "<i4")] = np.frombuffer(row.counts, "<f4")
-    return counts.reshape(size, size)
-
-
-def losses(counts: np.ndarray, scale: float = 1.0, prior: float = PRIOR) -> np.ndarray:
-    """-log p(word | word before): counts times `scale`, smoothed by the unigram model."""
-    result = counts * np.float32(scale)
-    before = result.sum(axis=1, keepdims=True, dtype=np.float64)
-    single = (result.sum(axis=0, dtype=np.float64) + 1) / (before.sum() + len(counts))
-    result += (prior * single).astype(np.float32)
-    result /= (before + prior).astype(np.float32)
-    np.log(result, out=result)
-    return np.negative(result, out=result)
-
-
-def models(target: DataFrame, background: DataFrame, size: int):
-    """(vocabulary, target losses, background losses); the corpora are tables of one text column.
-
-    The background's counts are scaled to the number of words of the target, so that both models rest on
-    evidence of the same weight and smoothing pulls both alike.
-    """
-    vocabulary = shared_vocabulary(target, background, size)
-    counts = bigram_counts(target, vocabulary)
-    words, own = counts.sum(dtype=np.float64), losses(counts)
-    counts = bigram_counts(background, vocabulary)
-    others = counts.sum(dtype=np.float64)
-    return vocabulary, own, losses(counts, words / others if words and others else 1.0)
-
-
 def word_totals(target: DataFrame, background: DataFrame) -> DataFrame:
     """(word, t, b): the hash of every word of the two corpora and its counts in them."""
 
@@ -333,20 +234,19 @@ def loss_sums(gathered: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, word
     return packed.groupBy("chunk").applyInArrow(in_chunk, "key bigint, t double, b double")
 
 
-def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, size: int | None = None) -> DataFrame:
+@keeps_own_columns
+def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = None) -> DataFrame:
     """Rows of `docs` with n_tokens, target_loss, background_loss (nats per word) and score.
 
     The corpora are tables of one text column; without a background, the texts of `docs` are it. All words and
     word pairs of both corpora are counted, and all words of a text scored; only a word that is in neither
-    is unknown. (With a `size`, the models are limited to that many word classes.) Pairs travel as 64-bit
-    hashes to where their counts meet, and sums per document travel back; no table of words or pairs is held whole.
+    is unknown. Pairs travel as 64-bit hashes to where their counts meet, and sums per document travel back; no
+    table of words or pairs is held whole.
 
     The score is the mean loss difference per word, background less target: above 0 a text looks
-    more like the target. A null or blank text has losses and score 0. Columns named like the added ones
-    are replaced.
+    more like the target. A null or blank text has losses and score 0. Repeated rows are scored alike.
+    Columns named like the added ones are replaced. Without a target, or without rows, the result is whole all the same.
     """
-    if size is not None:
-        return score_limited(docs, target, docs.select("text") if background is None else background, size)
     rows = fresh(docs, *ADDED).withColumn("_key", F.xxhash64("doc_id", "text"))
     own = docs.select("text") if background is None else background
     totals = work_table(word_totals(target, own))
@@ -385,33 +285,3 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = Non
             (losses_of[1] - losses_of[0]).alias("score"),
         )
     )
-
-
-def score_limited(docs: DataFrame, target: DataFrame, background: DataFrame, size: int) -> DataFrame:
-    """`score` by models of `size` word classes, the most frequent words of both corpora together."""
-    vocabulary, own, other = models(target, background, size)
-    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, own.ravel(), other.ravel()))
-
-    @F.pandas_udf("struct<n_tokens:bigint,target_loss:double,background_loss:double>")
-    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words, target_loss, background_loss = shipped.value
-        for texts in batches:
-            keys, sizes = numbered(list(texts), words)
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            divisor = np.maximum(sizes, 1)
-            yield pd.DataFrame(
-                {
-                    "n_tokens": sizes,
-                    "target_loss": np.bincount(text, target_loss[keys], len(sizes)) / divisor,
-                    "background_loss": np.bincount(text, background_loss[keys], len(sizes)) / divisor,
-                }
-            )
-
-    rows = fresh(docs, *ADDED)
-    return rows.withColumn("_m", measured("text")).select(
-        *rows.columns,
-        "_m.n_tokens",
-        "_m.target_loss",
-        "_m.background_loss",
-        (F.col("_m.background_loss") - F.col("_m.target_loss")).alias("score"),
-    )

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emporia.llm.common import fresh
+from emporia.llm.common import fresh, keeps_own_columns
 from emporia.llm.graph import components
 from emporia.sources.store import work_table
 
@@ -136,6 +136,7 @@ def classes(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     )
 
 
+@keeps_own_columns
 def near_duplicates(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
     """Rows of `docs` with `fingerprint` and `component_id`, the smallest doc_id reachable by links.
 
@@ -158,6 +159,7 @@ def classify(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return rows.join(by_print, "_fp").withColumn("fingerprint", as_hex(F.col("_fp"))).drop("_fp")
 
 
+@keeps_own_columns
 def keep_one(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
     """One row of `docs` for each class of near duplicates: that of the smallest doc_id.
 

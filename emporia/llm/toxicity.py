@@ -11,11 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emporia.llm.common import fresh
+from emporia.llm.common import fresh, keeps_own_columns
 from emporia.sources.store import work_table
 
 SAMPLE_ROWS = 16_000  # labelled rows that the classifier is fitted on, at most
-MAX_FEATURES = 20_000  # of the model, the most telling ones
 LEAST_ROWS = 3  # labelled texts a feature must be in
 LEAST_GAIN = 15.0  # twice the log-likelihood gained by a feature alone
 PENALTY = 4.0  # weight of squared score changes under swaps
@@ -82,7 +81,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def telling_features(sample: DataFrame, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> list[str]:
-    """Features whose presence tells the classes apart by a likelihood-ratio test."""
+    """All features whose presence tells the classes apart by a likelihood-ratio test.
+
+    They are as many as the sample holds, and so bounded by its rows.
+    """
 
     @F.pandas_udf("array<string>")
     def found(texts: pd.Series) -> pd.Series:
@@ -105,7 +107,7 @@ def telling_features(sample: DataFrame, identities: tuple[tuple[str, ...], ...]
     n, k, all_n, all_k = F.col("n"), F.col("k"), F.lit(float(rows)), F.lit(float(toxic))
     gain = 2 * (likelihood(k, n) + likelihood(all_k - k, all_n - n) - likelihood(all_k, all_n))
     best = counted.withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
-    return [r[0] for r in best.orderBy(F.desc("gain"), "feature").limit(MAX_FEATURES).select("feature").collect()]
+    return [r[0] for r in best.orderBy(F.desc("gain"), "feature").select("feature").collect()]
 
 
 def examples(sample: DataFrame, names: list[str], identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> pd.DataFrame:
@@ -175,11 +177,13 @@ def train(
     return Model({f: float(w) for f, w in zip(names, weights) if abs(w) > 1e-6}, float(intercept))
 
 
+@keeps_own_columns
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of `docs` with `score`, between 0 and 1, and `predicted`, 1 from the threshold on.
 
     Only the text is looked at, and all of it. Null and empty texts have the score of no evidence.
-    Columns named like the added ones are replaced.
+    Columns named like the added ones are replaced; repeated rows are scored alike; an empty table gives an empty
+    result.
     """
     weights, intercept = model
 

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emporia.llm.common import fresh
+from emporia.llm.common import fresh, keeps_own_columns
 from emporia.sources.store import work_table
 
 ADDED = ("host", "path", "rule", "verdict")
@@ -87,6 +87,7 @@ def sweep(points: DataFrame, rules: DataFrame, partitions: int | None = None) ->
     )
 
 
+@keeps_own_columns
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url: str = "url") -> DataFrame:
     """Rows of `pages` with host, path, rule and verdict.
 

@@ -154,6 +154,13 @@ def test_repeat_words(spark):
     assert {r.doc_id: r.n_repeat_words for r in got} == {i: plain_repeat_words(t) for i, t in enumerate(texts)}
 
 
+def test_costs_are_those_of_the_rules(spark):
+    """A rule that takes every text apart costs more than one that compares two numbers."""
+    texts = [prose(i, 400) for i in range(400)]
+    costs = {m.rule.name: m.seconds for m in quality.measure(documents(spark, texts), quality.default_rules())}
+    assert costs["letters"] > 5 * costs["symbols"] and costs["few_words"] > 5 * costs["repeated_words"]
+
+
 def test_cascade_order_and_result(spark, awkward, empty):
     texts = [prose(i, 80) if i % 3 else prose(i, 80) + " ###" * 30 for i in range(60)]
     docs = documents(spark, texts)
@@ -489,6 +496,12 @@ def test_trie_counts_against_plain_search(spark):
     assert sum(r.n_bytes for r in rows) > 0
 
 
+def test_piece_probabilities_add_up():
+    vocabulary = token_counts.read_vocabulary(token_counts.vocabulary_path())
+    assert np.exp(list(vocabulary.values())).sum() == pytest.approx(1)
+    assert -min(vocabulary.values()) < token_counts.BYTE_PENALTY
+
+
 def test_token_counts_awkward(awkward, empty):
     rows = token_counts.count_tokens(awkward).collect()
     assert len(rows) == awkward.count() and token_counts.count_tokens(empty).count() == 0
@@ -674,44 +687,6 @@ def test_url_rules_against_plain_search(spark, partitions, monkeypatch):
 # 9 LM scoring
 
 
-def test_scores_against_plain_models(spark):
-    target = ["a b a b c", "a b b", None, ""]
-    background = ["c c c a", "d e f g a b", "A B z", "q r s t u v w"]
-    vocabulary, own, other = lm_scoring.models(
-        spark.createDataFrame([(t,) for t in target], "text string"),
-        spark.createDataFrame([(t,) for t in background], "text string"),
-        8,
-    )
-    top = Counter(w for t in target + background if t for w in t.lower().split())
-    assert set(vocabulary) == {w.encode() for w in sorted(top, key=lambda w: (-top[w], w))[:6]}
-    number = lambda w: vocabulary.get(w.encode(), 1)
-
-    def plain(texts, scale):
-        pairs = Counter()
-        for t in texts:
-            ids = [0, *[number(w) for w in (t or "").lower().split()]]
-            pairs.update(zip(ids, ids[1:]))
-        n = scale * sum(pairs.values())
-
-        def loss(v, w):
-            single = (scale * sum(c for (_, x), c in pairs.items() if x == w) + 1) / (n + 8)
-            before = scale * sum(c for (x, _), c in pairs.items() if x == v)
-            return -np.log((scale * pairs[v, w] + lm_scoring.PRIOR * single) / (before + lm_scoring.PRIOR))
-
-        return loss
-
-    docs = documents(spark, ["a b c zz", "", None, "q r"])
-    rows = lm_scoring.score(docs, docs.sparkSession.createDataFrame([(t,) for t in target], "text string"),
-                            docs.sparkSession.createDataFrame([(t,) for t in background], "text string"), 8).collect()
-    losses = plain(target, 1.0), plain(background, 8 / 20)
-    for r in rows:
-        ids = [0, *[number(w) for w in (r.text or "").split()]]
-        expected = [sum(f(v, w) for v, w in zip(ids, ids[1:])) / max(1, len(ids) - 1) for f in losses]
-        assert [r.target_loss, r.background_loss] == pytest.approx(expected, rel=1e-5)
-        assert r.score == pytest.approx(expected[1] - expected[0], abs=1e-5)
-    assert rows[0].score > rows[3].score
-
-
 @pytest.mark.parametrize("shared", [True, False])
 def test_every_word_counts_in_the_models(spark, shared, monkeypatch):
     monkeypatch.setattr(lm_scoring, "BUCKET_WORDS", 2_000)  # several buckets, hot words and chunks
@@ -890,3 +865,30 @@ def test_pipeline_of_empty_and_awkward_tables(spark, folder, awkward, empty):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.work_table(stage(spark, docs, folder))
         docs.count()
+
+
+# Columns of the caller that are named like inner ones
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        lambda docs: quality.judge(docs), lambda docs: simhash.near_duplicates(docs), lambda docs: simhash.keep_one(docs),
+        lambda docs: token_counts.count_tokens(docs), lambda docs: lm_scoring.score(docs, docs.select("text")),
+        lambda docs: toxicity.scored(docs, toxicity.Model({"=word": 1.0}, -1.0)),
+        lambda docs: url_filter.judge_urls(
+            docs.withColumn("url", F.lit("http://a.org/x")),
+            docs.sparkSession.createDataFrame([("org", "/", "block")], url_filter.RULES_SCHEMA),
+        ).drop("url"),
+    ],
+)
+def test_callers_columns_come_back(spark, operator):
+    names = ["_fp", "_row", "_key", "_of", "_t", "_words", "_lines", "_again", "_counts", "_at", "_best", "_host", "_path",
+             "_labels", "_n", "_order", "_begin", "fp", "root", "first", "key"]
+    plain = documents(spark, [prose(1, 60), prose(1, 60), None, "", prose(2, 80)])
+    named = plain.withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    rows = operator(named).collect()
+    assert [c for c in operator(named).columns if c in names] == names
+    assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    without = sorted(map(str, operator(plain).collect()))
+    assert sorted(map(str, operator(named).drop(*names).collect())) == without
