@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emporia.sources.store import scratch_path, work_table
@@ -97,11 +97,35 @@ def importances_by_nodes(nodes: DataFrame) -> DataFrame:
     return shares.select("feature", F.try_divide(F.col("s"), shares.agg(F.sum("s")).scalar()).alias("importance"))
 
 
+def with_cells(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Add `_cell`: `features` as far as the nodes can tell. Rows of one cell reach the same leaf of every tree.
+
+    A number becomes the least threshold of its feature that is not below it, infinity above all of them; a
+    category stays; a feature that no node asks for is infinity. A feature has fewer thresholds than
+    training had bins, so with few features there are far fewer cells than rows.
+    """
+    by_feature = (
+        nodes.where("feature IS NOT NULL")
+        .groupBy("feature")
+        .agg(F.struct(F.collect_set("threshold").alias("cuts"), F.bool_or("is_category").alias("whole")).alias("asked"))
+    )
+    asked = by_feature.agg(F.map_from_entries(F.collect_list(F.struct("feature", "asked")))).scalar()
+
+    def cell(value: Column, feature: Column) -> Column:
+        own = F.try_element_at("_asked", feature)
+        above = F.array_min(F.filter(own["cuts"], lambda cut: cut >= value))
+        return F.when(own["whole"], value).otherwise(F.coalesce(above, F.lit(float("inf"))))
+
+    placed = rows.withColumn("_asked", asked).withColumn("_cell", F.transform(vector_to_array("features"), cell))
+    return placed.drop("_asked")
+
+
 class NodeModel:
     """A fitted pipeline whose last stage is scored from its node table, with joins instead of the library.
 
     Operators take it in place of the pipeline; what both give is compared to tell whether a model was
-    stored, read and applied as it should be. `kind` as in `scored_by_nodes`.
+    stored, read and applied as it should be. `kind` as in `scored_by_nodes`. Rows that no node tells apart
+    walk the trees once.
     """
 
     def __init__(self, spark, model: PipelineModel, kind: str):
@@ -111,10 +135,11 @@ class NodeModel:
         self.kind = kind
 
     def transform(self, df: DataFrame) -> DataFrame:
-        rows = work_table(self.features.transform(df).withColumn("_row", F.monotonically_increasing_id()))
-        asked = work_table(rows.select(F.col("_row").alias("row"), vector_to_array("features").alias("x")))
+        rows = work_table(with_cells(self.features.transform(df), self.nodes))
+        asked = work_table(rows.select(F.col("_cell").alias("x")).distinct().withColumn("row", F.monotonically_increasing_id()))
         found = scored_by_nodes(asked, self.nodes, self.kind, self.depth)
-        return rows.join(found.withColumnRenamed("row", "_row"), "_row").drop("_row")
+        of_cell = work_table(asked.join(found, "row").select(F.col("x").alias("_cell"), "prediction"))
+        return rows.join(of_cell, "_cell").drop("_cell")
 
 
 def distance(own: DataFrame, other: DataFrame, keys: list[str], value: str) -> DataFrame:

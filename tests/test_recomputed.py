@@ -6,9 +6,9 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorIndexer
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
@@ -103,6 +103,26 @@ def test_node_tables_predict_as_the_library(spark, points, kind, learner, settin
     assert len(apart) == 300 and all(r.distance == 0.0 for r in apart)
 
 
+def test_rows_that_no_node_tells_apart_walk_the_trees_once(spark, monkeypatch):
+    """As many walks as there are sides of the thresholds and categories, however many rows; odd numbers included."""
+    train = spark.range(400).selectExpr("id % 40 / 8D AS a", "double(id % 5) AS b", "if(id % 40 > 15, 1D, 0D) + if(id % 5 IN (1, 4), 3D, 0D) AS label")
+    stages = [VectorAssembler(inputCols=["a", "b"], outputCol="both"), VectorIndexer(inputCol="both", outputCol="features", maxCategories=5)]
+    model = Pipeline(stages=[*stages, RandomForestRegressor(labelCol="label", numTrees=4, maxDepth=3, seed=1)]).fit(train)
+    odd = [0.0, -0.0, float("inf"), float("-inf"), float("nan")]
+    asked = spark.range(3000).selectExpr("id", "id / 500D AS a", "double(id % 5) AS b").unionByName(
+        spark.createDataFrame([(9000 + 5 * i + j, v, float(j)) for i, v in enumerate(odd) for j in range(5)], "id long, a double, b double")
+    )
+    asked = VectorAssembler(inputCols=["a", "b"], outputCol="both", handleInvalid="keep").transform(asked).drop("a", "b")
+    applied = PipelineModel(model.stages[1:])
+    walked = []
+    monkeypatch.setattr(trees, "leaves_reached", lambda rows, *rest, own=trees.leaves_reached: (walked.append(rows.count()), own(rows, *rest))[1])
+    nodes = trees.NodeModel(spark, applied, "mean")
+    thresholds = nodes.nodes.where("feature = 0").select("threshold").distinct().count()
+    apart = trees.distance(applied.transform(asked), nodes.transform(asked), ["id"], "prediction").collect()
+    assert len(apart) == 3025 and all(r.distance == 0.0 for r in apart)
+    assert thresholds > 0 and walked[0] <= (thresholds + 1) * 5
+
+
 def test_importances_from_gains(spark, points):
     forest = RandomForestRegressor(labelCol="label", numTrees=8, maxDepth=5, seed=3)
     model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b", "c"], outputCol="features"), forest]).fit(points)
