@@ -147,3 +147,9 @@ def test_pair_properties(fact):
     stored = basket.basket_table(basket.basket_items(fact))
     supports = basket.item_support(stored).agg(F.sum("support")).first()[0]
     assert supports == stored.agg(F.sum("size")).first()[0]
+
+
+def test_repeated_purchases_count_once_in_a_basket_table(spark):
+    rows = [("c1", "d", "b"), ("c1", "d", "a"), ("c1", "d", "b"), ("c2", "d", None), ("c2", "d", None)]
+    table = basket.basket_table(spark.createDataFrame(rows, "client_id string, purchase_date string, item string"))
+    assert sorted((r["items"], r["size"]) for r in table.collect()) == [([], 0), (["a", "b"], 2)]

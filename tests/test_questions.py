@@ -1,9 +1,15 @@
 from __future__ import annotations
 
+import contextlib
+import io
+import random
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
 from emporia.operators import questions as q
+from emporia.sources.store import work_table
 
 TURNS = [
     (1, 0, "Quel est le produit le plus acheté à Bizerte ?"),
@@ -98,3 +104,38 @@ def test_carry_last_in_stretches(spark, chunk):
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "g int, t long, v string")
     found = [r.before for r in q.carry_last(df, "g", "t", "v", "before", chunk).orderBy("t").collect()]
     assert found == [None, None, "a", "a", "a", "b", "b", "b", "b", "b", "c"]
+
+
+def test_pairs_of_slices_agree_with_a_count_of_each(spark):
+    """Repeated purchases, items sold in two categories or places, missing and empty names of slices and items."""
+    draw = random.Random(3)
+    rows = [
+        (f"c{draw.randrange(6)}", f"2020-01-0{draw.randrange(1, 4)}", draw.choice([" a", "a", "b", "c", "d", " ", None]),
+         draw.choice(["x", "y", "", None]), draw.choice(["north", "south", None]))
+        for _ in range(150)
+    ] * 2
+    df = spark.createDataFrame(rows, "client_id string, purchase_date string, product_name string, category string, delegation string")
+    asked = [("", ""), ("x", ""), ("", "south"), ("y", "north"), ("z", "")]
+    expected = {}
+    for category, delegation in asked:
+        baskets = {}
+        for client, date, name, c, d in rows:
+            if name and name.strip() and category in ("", c) and delegation in ("", d):
+                baskets.setdefault((client, date), set()).add(name.strip())
+        for held in baskets.values():
+            for x, y in combinations(sorted(held), 2):
+                expected[(category, delegation, x, y)] = expected.get((category, delegation, x, y), 0) + 1
+    found = q.sliced_pairs(df, spark.createDataFrame(asked * 2, "in_category string, in_delegation string"), 100).collect()
+    assert {(r.in_category, r.in_delegation, r.x, r.y): r.frequency for r in found} == expected and expected
+
+
+def test_slices_share_one_shuffle_of_the_purchases(spark, monkeypatch):
+    """A purchase is not copied to its slices before baskets are made, and repeated ones need no shuffle of their own."""
+    plans = []
+    monkeypatch.setattr(q, "work_table", lambda df: (plans.append(df), work_table(df))[1])
+    df = spark.createDataFrame([("c", "2020-01-01", n, "x", "north") for n in "abcab"], "client_id string, purchase_date string, product_name string, category string, delegation string")
+    q.sliced_pairs(df, spark.createDataFrame([("", ""), ("x", "")], "in_category string, in_delegation string"), 5).collect()
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        plans[-1].explain()
+    assert text.getvalue().count("Exchange hashpartitioning") == 1
